@@ -80,12 +80,12 @@ def raw_text(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
-def chunks(offs: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+def chunks(offs: np.ndarray, limit: int = CHUNK_BYTES, rows: int = 1 << 62) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``limit`` bytes, one row at least; rows are never cut."""
     lo, n = 0, len(offs) - 1
     while lo < n:
         hi = int(np.searchsorted(offs, offs[lo] + limit, side="right")) - 1
-        hi = min(max(hi, lo + 1), n)
+        hi = min(max(hi, lo + 1), n, lo + rows)
         yield lo, hi
         lo = hi
 

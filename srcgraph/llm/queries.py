@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from srcgraph.llm import divergence, mixing, simhash
+from srcgraph.llm import decontam, divergence, mixing, simhash
 from srcgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,8 +24,12 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_divergence, op4_mixing, op6_simhash)}
+    return {f.__name__: f for f in (op2_divergence, op4_mixing, op6_simhash, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

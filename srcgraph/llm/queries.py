@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from srcgraph.llm import decontam, divergence, mixing, simhash
+from srcgraph.llm import decontam, divergence, mixing, pii, simhash
 from srcgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.private(table(spark, sf_dir, "documents"))
+
+
 def op2_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.quality(table(spark, sf_dir, "documents"))
 
@@ -29,7 +33,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_divergence, op4_mixing, op6_simhash, op10_decontamination)}
+    return {f.__name__: f for f in (op1_pii, op2_divergence, op4_mixing, op6_simhash, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

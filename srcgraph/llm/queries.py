@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from srcgraph.llm import decontam, divergence, mixing, pii, simhash
+from srcgraph.llm import decontam, divergence, mixing, pii, rules, simhash, toxicity, url_lm
 from srcgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op2_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.quality(table(spark, sf_dir, "documents"))
 
 
+def op3_url_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_lm.classify(table(spark, sf_dir, "pages"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -28,12 +32,20 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pii, op2_divergence, op4_mixing, op6_simhash, op10_decontamination)}
+    return {f.__name__: f for f in (op1_pii, op2_divergence, op3_url_ratio, op4_mixing, op6_simhash, op7_toxicity, op8_rules, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from srcgraph.llm import decontam, divergence, mixing, pii, rules, simhash, toxicity, url_lm
+from srcgraph.llm import decontam, divergence, lm, mixing, pii, rules, simhash, toxicity, url_lm
 from srcgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,12 +40,16 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pii, op2_divergence, op3_url_ratio, op4_mixing, op6_simhash, op7_toxicity, op8_rules, op10_decontamination)}
+    return {f.__name__: f for f in (op1_pii, op2_divergence, op3_url_ratio, op4_mixing, op6_simhash, op7_toxicity, op8_rules, op9_context_mixing, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -5,8 +5,8 @@ are compared with those of its language by Jensen-Shannon distance (the square
 root of the divergence, base 2). The references come from all documents of the
 language: for words their summed histogram, for character classes the median
 share of each class, which a minority of junk can't shift. Shares are counted
-in ten-thousandths, so an exact median needs at most 10,001 counters. Both
-passes are narrow built-in expressions; only small rows a language are shuffled.
+in ten-thousandths, so an exact median needs at most 10,001 counters. All of it
+is narrow built-in expressions; only small rows a language are shuffled.
 
 Divergence of a small sample is biased upwards by about
 ``(bins - 1) / (8 n ln 2)``, which is taken off before the root, and documents
@@ -26,10 +26,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from srcgraph.llm.common import fresh, text_of
+from srcgraph.llm.common import fresh, materialise, text_of
 
 #: The commonest function words of each language.
 COMMON_WORDS = {
@@ -108,11 +108,9 @@ def _distance(p: Column, q: Column, bins: Column) -> Column:
     return F.when((n > 0) & (m > 0) & (bins > 1), F.round(F.sqrt(F.greatest(raw - bias, F.lit(0.0))), _ROUND))
 
 
-def scores(docs: DataFrame, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
-    """``docs`` plus _n_chars, _n_words, _char_distance, _word_distance, _reason (null where nothing speaks against it), _keep."""
-    hist = histograms(docs)
-    # one row a language, so small whatever the input; the planner may still pick another join
-    ref = references(histograms(docs.select("text", "lang")))
+def judged(hist: DataFrame, ref: DataFrame, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
+    """``hist`` plus _char_distance, _word_distance, _reason (null where nothing speaks against it), _keep."""
+    # ``ref`` has one row a language, so it is small whatever the input
     out = hist.join(F.broadcast(ref), "_lang", "left")
     out = out.withColumns(
         {
@@ -131,7 +129,9 @@ def scores(docs: DataFrame, min_chars: int = MIN_CHARS, min_words: int = MIN_WOR
 
 def quality(docs: DataFrame) -> DataFrame:
     """One row a document: doc_id, lang, n_chars, n_words, char_distance, word_distance, reason, keep."""
-    out = scores(docs.select("doc_id", "text", "lang"))
+    # a few dozen counters a document are written once, so each text is read once
+    hist = materialise(histograms(docs.select("doc_id", "text", "lang")).drop("text", "lang"))
+    out = judged(hist, references(hist))
     return out.select("doc_id", F.col("_lang").alias("lang"), *[F.col(f"_{c}").alias(c) for c in ("n_chars", "n_words", "char_distance", "word_distance", "reason", "keep")])
 
 
@@ -139,7 +139,8 @@ def keep_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, all columns as they were."""
     whole = fresh(docs, "whole")
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(whole), docs["text"].alias("text"), docs["lang"].alias("lang"))
-    return scores(packed).where("_keep").select(f"{whole}.*")
+    # two narrow passes over the texts rather than a shuffle of them
+    return judged(histograms(packed), references(histograms(docs.select("text", "lang")))).where("_keep").select(f"{whole}.*")
 
 
 def _sql_list(words: list[str]) -> str:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from srcgraph.llm import decontam, divergence, lm, mixing, pii, rules, simhash, toxicity, url_lm
+from srcgraph.llm import bwt, decontam, divergence, lm, mixing, pii, rules, simhash, toxicity, url_lm
 from srcgraph.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op5_bwt_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt.repeats(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pii, op2_divergence, op3_url_ratio, op4_mixing, op6_simhash, op7_toxicity, op8_rules, op9_context_mixing, op10_decontamination)}
+    return {f.__name__: f for f in (op1_pii, op2_divergence, op3_url_ratio, op4_mixing, op5_bwt_repeats, op6_simhash, op7_toxicity, op8_rules, op9_context_mixing, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

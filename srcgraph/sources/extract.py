@@ -197,7 +197,7 @@ def _rust(s: Source) -> Found:
     block = lambda m: s.block_end(m.end() - 1)
     out = _each(s, r"(?P<def>(?:pub(?:\([^)]*\))?\s+)?(?:default\s+|const\s+|async\s+|unsafe\s+|extern\s+(?:\"[^\"]*\"\s+)?)*\bfn\s+(?P<name>\w+)\s*(?=[<(]))", "function", lambda m: s.block_end(m.end()))
     for word, kind in (("struct", "type"), ("enum", "type"), ("trait", "interface"), ("mod", "module"), ("type", "type")):
-        out += _each(s, rf"(?:^|[;{{}}\]])\s*(?P<def>(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?{word}\s+(?P<name>\w+))", kind, block)
+        out += _each(s, rf"(?:^|(?<=[;{{}}\]]))\s*(?P<def>(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?{word}\s+(?P<name>\w+))", kind, block)
     return out
 
 
@@ -207,7 +207,7 @@ def _java(s: Source) -> Found:
     out = _each(s, rf"(?<![\w.])(?P<def>{words}class\s+(?P<name>\w+)[^{{;]*\{{)", "class", body)
     out += _each(s, rf"(?<![\w.@])(?P<def>{words}interface\s+(?P<name>\w+)[^{{;]*\{{)", "interface", body)
     method = rf"(?:^|[{{;}}])\s*(?P<def>(?:@\w+(?:\([^)]*\))?\s*)*{words}(?:<[^>(]*>\s*)?(?P<kind>[\w.]+(?:<[^;{{}}()=]*>)?(?:\[\])*)\s+(?P<name>\w+)\s*\([^)]*\)\s*(?:throws\s+[\w.,\s]+)?[{{;])"
-    reserved = {"new", "return", "else", "throw", "case", "assert", "package", "import", "yield"}
+    reserved = {"new", "return", "else", "throw", "case", "assert", "package", "import", "yield", "public", "private", "protected", "static", "final", "abstract", "sealed", "strictfp", "synchronized", "native", "default"}
     for m in re.finditer(method, s.code, re.M):
         if m["kind"] not in reserved and m["name"] not in ("if", "for", "while", "switch", "catch"):
             end = s.closing(m.end() - 1) if s.code[m.end() - 1] == "{" else m.end() - 1
@@ -220,8 +220,9 @@ SCANNERS: dict[str, Callable[[Source], Found]] = {"go": _go, "typescript": _scri
 
 def _import_hits(s: Source, language: str) -> Iterator[tuple[str, int]]:
     if language == "go":
-        for m in re.finditer(r"^[ \t]*import\b[ \t]*", s.code, re.M):
-            at = m.end()
+        for m in re.finditer(r"^[ \t]*import\b", s.code, re.M):
+            # strings are blank in the masked code, so blanks are skipped in the text
+            at = re.compile(r"[ \t]*").match(s.text, m.end()).end()
             stop = s.closing(at) if s.code[at : at + 1] == "(" else s.text.find("\n", at) if "\n" in s.text[at:] else len(s.text)
             for q in re.finditer(r"(?:^|[\s(;])(?:[\w.]+[ \t]+)?(\"[^\"\n]*\")", s.text[at:stop]):
                 # quotes in a comment are no import: their place is blank in code, but so is the comment mark
@@ -246,7 +247,7 @@ def _import_hits(s: Source, language: str) -> Iterator[tuple[str, int]]:
                     yield part.strip(), at + len(part) - len(part.lstrip())
                 at += len(part) + 1
     elif language == "rust":
-        for m in re.finditer(r"(?:^|[;{}])\s*(?:pub(?:\([^)]*\))?\s+)?use\s+([^;]+);", s.code):
+        for m in re.finditer(r"(?:^|(?<=[;{}]))\s*(?:pub(?:\([^)]*\))?\s+)?use\s+([^;]+);", s.code, re.M):
             yield s.text[m.start(1) : m.end(1)].strip(), m.start(1)
     elif language == "java":
         for m in re.finditer(r"^[ \t]*import\s+(?:static\s+)?([\w.]+?)(?:\.\*)?\s*;", s.code, re.M):

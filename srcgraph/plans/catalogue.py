@@ -292,14 +292,14 @@ def related_topn(spark, d):
 
 @query(
     """a AS (SELECT DISTINCT e.path FROM edges e JOIN edges s ON e.source = s.source WHERE s.path = '17'),
- hit AS (SELECT 1 AS one FROM a WHERE path = '1999'),
- mid AS (SELECT min(m.path) AS path FROM a JOIN edges m ON m.path = a.path JOIN edges t ON t.source = m.source WHERE t.path = '1999' AND m.path <> '17')
-SELECT 0 AS pos, '17' AS path UNION ALL SELECT 1, CASE WHEN (SELECT count(*) FROM hit) > 0 THEN '1999' ELSE (SELECT path FROM mid) END UNION ALL SELECT 2, '1999' WHERE (SELECT count(*) FROM hit) = 0""",
+ hit AS (SELECT 1 AS one FROM a WHERE path = '150'),
+ mid AS (SELECT min(m.path) AS path FROM a JOIN edges m ON m.path = a.path JOIN edges t ON t.source = m.source WHERE t.path = '150' AND m.path <> '17')
+SELECT 0 AS pos, '17' AS path UNION ALL SELECT 1, CASE WHEN (SELECT count(*) FROM hit) > 0 THEN '150' ELSE (SELECT path FROM mid) END UNION ALL SELECT 2, '150' WHERE (SELECT count(*) FROM hit) = 0""",
     "edges",
     recursive=True,
 )
 def trace_path(spark, d):
-    return graph.trace(V.edges(spark, d), "17", "1999")
+    return graph.trace(V.edges(spark, d), "17", "150")
 
 
 # ---------------------------------------------------------------- composites

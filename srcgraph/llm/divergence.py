@@ -46,6 +46,7 @@ MIN_WORDS = 40
 MAX_CHAR_DISTANCE = 0.19
 MAX_WORD_DISTANCE = 0.18
 _ROUND = 6
+BROADCAST_LANGUAGES = 10_000
 _SHARES = 10_000
 
 
@@ -84,11 +85,15 @@ def references(hist: DataFrame) -> DataFrame:
     sums = [F.percentile(c, F.lit(0.5)).alias(f"c{i}") for i, c in enumerate(share)]
     sums += [F.sum(F.get("_words", F.lit(i))).alias(f"w{i}") for i in range(width)]
     wide = hist.select("_lang", "_n_chars", "_chars", "_words").groupBy("_lang").agg(*sums)
-    return wide.select(
-        "_lang",
-        F.array(*[f"c{i}" for i in range(len(CLASSES) + 1)]).alias("_ref_chars"),
-        F.filter(F.array(*[f"w{i}" for i in range(width)]), lambda x: x.isNotNull()).alias("_ref_words"),
+    out = materialise(
+        wide.select(
+            "_lang",
+            F.array(*[f"c{i}" for i in range(len(CLASSES) + 1)]).alias("_ref_chars"),
+            F.filter(F.array(*[f"w{i}" for i in range(width)]), lambda x: x.isNotNull()).alias("_ref_words"),
+        )
     )
+    # one row a language; only a table with a language a document would be too large to send around
+    return F.broadcast(out) if out.count() <= BROADCAST_LANGUAGES else out
 
 
 def _plus(counts: Column) -> Column:
@@ -110,8 +115,7 @@ def _distance(p: Column, q: Column, bins: Column) -> Column:
 
 def judged(hist: DataFrame, ref: DataFrame, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
     """``hist`` plus _char_distance, _word_distance, _reason (null where nothing speaks against it), _keep."""
-    # ``ref`` has one row a language, so it is small whatever the input
-    out = hist.join(F.broadcast(ref), "_lang", "left")
+    out = hist.join(ref, "_lang", "left")
     out = out.withColumns(
         {
             "_char_distance": _distance(F.col("_chars"), F.col("_ref_chars"), F.size("_chars")),

@@ -89,7 +89,9 @@ def thresholds(docs: DataFrame, weights: Mapping[str, float] | None = None, tota
     bits = 0
     while wanted:
         step = min(STEP_BITS, HASH_BITS - bits)
-        now = F.broadcast(spark.createDataFrame(wanted, "source string, level int, prefix bigint, budget bigint"))
+        now = spark.createDataFrame(wanted, "source string, level int, prefix bigint, budget bigint")
+        if len(wanted) <= BROADCAST_ROWS:
+            now = F.broadcast(now)
         cells = (
             rows.withColumn("prefix", F.shiftright("h", HASH_BITS - bits) if bits else F.lit(0).cast("bigint"))
             .join(now.select("source", "prefix").distinct(), ["source", "prefix"], "left_semi")

@@ -12,10 +12,12 @@ from pyspark.sql.streaming.query import StreamingQuery
 
 from srcgraph.sources.store import Store
 
+_BINARY_FILE = "path string, modificationTime timestamp, length bigint, content binary"
+
 
 def watch(store: Store, root: str, checkpoint: str, interval: float = 10.0, once: bool = False) -> StreamingQuery:
     arrivals = (
-        store.spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1_000_000).load(root).select("path", "modificationTime")
+        store.spark.readStream.format("binaryFile").schema(_BINARY_FILE).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1_000_000).load(root).select("path", "modificationTime")
     )
 
     def run(batch: DataFrame, _: int) -> None:

@@ -1,4 +1,4 @@
-"""Shared pieces: shared-folder tables, Arrow helpers and a vectorised tokeniser.
+"""Shared pieces: Arrow helpers and a vectorised tokeniser.
 
 Texts travel to Python in Arrow batches and are never turned into Python
 strings on the hot path: words are byte ranges of the Arrow buffer and their
@@ -8,8 +8,6 @@ NumPy passes whatever the number of words.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,34 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-U64 = np.uint64
-CHUNK_BYTES = 1 << 20
-
+from srcgraph.runtime import settle as materialise
 
-# ---------------------------------------------------------------- shared folder
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``).
+__all__ = ["CHUNK_BYTES", "U64", "chunks", "fresh", "lowered", "materialise", "mix", "powers", "raw_text", "rolling", "table", "text_of", "words"]
 
-    Only a local master without that setting gets a folder of its own; on a
-    cluster a missing setting is an error, since a machine-local folder would
-    not be visible to other executors.
-    """
-    sc = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not where:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="srcgraph-"))
-        where = sc.getCheckpointDir()
-    return where.rstrip("/")
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage is cut and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/srcgraph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+U64 = np.uint64
+CHUNK_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

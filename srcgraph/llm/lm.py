@@ -258,6 +258,10 @@ def score(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     text = docs["text"].cast("string")
     half = F.pmod(F.xxhash64(F.lit("half"), text), F.lit(2)).cast("int")
     halved = docs.select(half.alias("half"), text.alias("text"), "doc_id")
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    if halved.rdd.getNumPartitions() < cores:
+        # a table of few files is spread over all cores: coding costs far more than moving so small a text
+        halved = halved.repartition(cores)
     counts = gather(halved.where("text <> ''").select("half", "text"))
     # each half is scored with the counts of the other
     tables = np.stack([stretch(counts[1]), stretch(counts[0])])

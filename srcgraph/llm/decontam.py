@@ -178,7 +178,9 @@ def _scan(bench: Benchmark, min_cover: float, min_agree: float):
                 key = tok.row[at] * len(bench.ids) + bench.item[to]
                 order = np.argsort(key, kind="stable")
                 at, to, key = at[order], to[order], key[order]
-                cut = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+                if not len(key):
+                    continue
+                cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
                 for a, b in zip(cut, np.append(cut[1:], len(key)), strict=True):
                     item = int(bench.item[to[a]])
                     got = bench.judge(item, bench.pos[to[a:b]], at[a:b], tok.kind, tok.value, min_cover, min_agree)

@@ -58,6 +58,12 @@ def test_both_ways_agree_and_empty_tables(spark, make_docs, sf, bench):
     assert decontam.leaks(make_docs(DOCS), bench.where(F.lit(False)), limit=-1).count() == 0
 
 
+def test_texts_without_a_match(make_docs, bench):
+    rows = [(i, "nothing of it is in here at all, only other words of no use to anyone", "en", "a") for i in range(5)]
+    assert decontam.leaks(make_docs(rows), bench).collect() == []
+    assert decontam.keep_documents(make_docs(rows), bench).count() == 5
+
+
 def test_canonical_kinds():
     import pyarrow as pa
 

@@ -11,11 +11,12 @@ phrase sequences, an alphabet of hashes, about nine times shorter than the words
 2. Each shard (a batch of documents) sorts the suffixes of its runs once, bucket
    by bucket of the leading phrase, and ships their transform.
 3. In a bucket the transforms of all shards are merged by refining their
-   interleave: each round reads the transforms in the present order and deals the
-   suffixes out by preceding phrase, so that the order is right to one phrase
-   more. No suffix is compared or sorted again. The round in which a boundary
-   appears is the common prefix at it; intervals between boundaries whose suffixes
-   come from several documents are the repeats.
+   interleave: each round places the suffixes by their first phrase and the
+   present place of what follows it, so that the order is right to one phrase
+   more; rounds touch what the one before changed. No suffix is compared or sorted
+   again. The round in which a boundary appears is the common prefix at it;
+   intervals between boundaries whose suffixes come from several documents are the
+   repeats.
 4. Repeats of ``min_words`` words and more are certain. Where phrases match for
    fewer, the words next to them decide: the ``min_words``-word windows that hold
    the matched phrases are hashed and met in a shuffle.
@@ -211,35 +212,56 @@ _SHARD = "bucket int, bwt binary, heads binary, rids binary, starts binary, size
 
 # ---------------------------------------------------------------- merge
 def merge(bwts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(rows of all shards, shard after shard, in merged order; common prefix with the row before).
+    """(rows of all shards, shard after shard, in merged order; common prefix with the row before, the largest number for equal suffixes).
 
-    Rows are told apart by shard alone: the j-th place that a round deals to a
-    shard is the j-th suffix of that shard, whose own order never changes.
+    A transform leads from the row of a suffix to the row of the one a symbol
+    shorter. A round places the suffixes of a block in the order and blocks that
+    the shorter ones had in the round before. A block can only change where one
+    of those has just changed, so a round touches those blocks alone; the rows of
+    a shard keep their own order throughout.
     """
-    size = np.array([len(x) for x in bwts])
-    n = int(size.sum())
-    code = np.unique(np.concatenate(bwts), return_inverse=True)[1]
-    code = code.astype(np.uint16 if code.max(initial=0) < 1 << 16 else np.int64)
-    shard = np.repeat(np.arange(len(bwts), dtype=np.uint16 if len(bwts) < 1 << 16 else np.int64), size)
-    order, bound, lcp = np.arange(n), np.zeros(n, bool), np.zeros(n, np.int32)
-    bound[:1] = True
-    depth = 0
-    while True:
+    base = np.cumsum([0] + [len(x) for x in bwts])
+    n = int(base[-1])
+    deal = [np.argsort(x, kind="stable") for x in bwts]
+    # the k-th suffix of a shard begins with the k-th least symbol of its transform, and goes on as the row that holds it
+    first = np.concatenate([x[d] for x, d in zip(bwts, deal, strict=True)])
+    after = np.concatenate([d + b for d, b in zip(deal, base[:-1], strict=True)])
+    ends = first == 0
+    before = np.full(n, -1)
+    before[after[~ends]] = np.flatnonzero(~ends)
+    order = np.argsort(first, kind="stable")
+    starts = np.flatnonzero(np.append(True, first[order][1:] != first[order][:-1]))[: n]
+    lcp = np.full(n, -1, np.int32)
+    lcp[starts] = 0
+    # a block is named by its first place
+    block, size = np.empty(n, np.int64), np.zeros(n, np.int64)
+    size[starts] = np.diff(np.append(starts, n))
+    block[order] = np.repeat(starts, size[starts])
+    changed, depth = np.arange(n), 0
+    while len(changed):
         depth += 1
-        c = code[order]
-        deal = np.argsort(c, kind="stable")
-        c, block = c[deal], np.cumsum(bound)[deal]
-        new = np.ones(n, bool)
-        # suffixes that begin with the closing symbol end there and are all alike
-        new[1:] = (c[1:] != c[:-1]) | ((block[1:] != block[:-1]) & (c[1:] != 0))
-        dealt = np.empty(n, np.int64)
-        dealt[np.argsort(shard[order][deal], kind="stable")] = np.arange(n)
-        lcp[new & ~bound] = depth - 1
-        still = (new == bound).all() and (dealt == order).all()
-        order, bound = dealt, new
-        if still:
-            lcp[~bound] = depth
-            return order, lcp
+        hit = before[changed]
+        hit = block[hit[hit >= 0]]
+        hit = np.unique(hit[size[hit] > 1])
+        if not len(hit):
+            break
+        reps = size[hit]
+        place = np.repeat(hit - (np.cumsum(reps) - reps), reps) + np.arange(int(reps.sum()))
+        rows = order[place]
+        # blocks lie in a row, so their names sort them; within one the shorter suffixes' blocks do
+        old, rest = block[rows], block[after[rows]]
+        by = np.argsort(np.repeat(np.arange(len(hit)), reps) * n + rest, kind="stable")
+        rows, rest = rows[by], rest[by]
+        order[place] = rows
+        split = np.append(False, (old[1:] == old[:-1]) & (rest[1:] != rest[:-1]))
+        lcp[place[split]] = depth
+        head = np.flatnonzero(split | np.append(True, old[1:] != old[:-1]))
+        name = np.repeat(place[head], np.diff(np.append(head, len(place))))
+        size[place[head]] = np.diff(np.append(head, len(place)))
+        changed = rows[name != old]
+        block[rows] = name
+    lcp[lcp < 0] = np.iinfo(np.int32).max
+    return order, lcp
 
 
 def _merge_bucket(min_words: int):

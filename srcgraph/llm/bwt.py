@@ -53,6 +53,8 @@ from srcgraph.llm.common import U64, chunks, materialise, mix, powers, raw_text,
 MIN_WORDS = 50
 ANCHOR = 16
 GRAM = 3
+#: Buckets a shuffle partition.
+BUCKETS = 8
 
 
 def least_core(min_words: int) -> int:
@@ -225,19 +227,23 @@ def merge(bwts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     deal = [np.argsort(x, kind="stable") for x in bwts]
     # the k-th suffix of a shard begins with the k-th least symbol of its transform, and goes on as the row that holds it
     first = np.concatenate([x[d] for x, d in zip(bwts, deal, strict=True)])
-    after = np.concatenate([d + b for d, b in zip(deal, base[:-1], strict=True)])
-    ends = first == 0
-    before = np.full(n, -1)
-    before[after[~ends]] = np.flatnonzero(~ends)
-    order = np.argsort(first, kind="stable")
+    place_type = np.int32 if n < 1 << 31 else np.int64  # half the memory for all but giant buckets
+    after = np.concatenate([(d + b).astype(place_type) for d, b in zip(deal, base[:-1], strict=True)])
+    del deal
+    goes_on = np.flatnonzero(first != 0).astype(place_type)
+    before = np.full(n, -1, place_type)
+    before[after[goes_on]] = goes_on
+    del goes_on
+    order = np.argsort(first, kind="stable").astype(place_type)
     starts = np.flatnonzero(np.append(True, first[order][1:] != first[order][:-1]))[: n]
     lcp = np.full(n, -1, np.int32)
     lcp[starts] = 0
     # a block is named by its first place
-    block, size = np.empty(n, np.int64), np.zeros(n, np.int64)
+    block, size = np.empty(n, place_type), np.zeros(n, place_type)
     size[starts] = np.diff(np.append(starts, n))
     block[order] = np.repeat(starts, size[starts])
-    changed, depth = np.arange(n), 0
+    del first, starts
+    changed, depth = np.arange(n, dtype=place_type), 0
     while len(changed):
         depth += 1
         hit = before[changed]
@@ -246,7 +252,7 @@ def merge(bwts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         if not len(hit):
             break
         reps = size[hit]
-        place = np.repeat(hit - (np.cumsum(reps) - reps), reps) + np.arange(int(reps.sum()))
+        place = (np.repeat(hit - (np.cumsum(reps) - reps), reps) + np.arange(int(reps.sum()))).astype(place_type)
         rows = order[place]
         # blocks lie in a row, so their names sort them; within one the shorter suffixes' blocks do
         old, rest = block[rows], block[after[rows]]
@@ -269,7 +275,7 @@ def _merge_bucket(min_words: int):
 
     def run(t: pa.Table) -> pa.Table:
         def raw(name: str, kind: type) -> list[np.ndarray]:
-            return [np.frombuffer(x.as_py(), kind) for x in t.column(name)]
+            return [np.frombuffer(x.as_buffer(), kind) for x in t.column(name)]
 
         order, lcp = merge(raw("bwt", U64))
         heads = raw("heads", np.int32)
@@ -356,7 +362,8 @@ def intervals(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     again = each.groupBy("sym").agg(F.min("rid").alias("a"), F.max("rid").alias("b")).where("a <> b").select("sym")
     hits = each.join(again, "sym").groupBy("rid").agg(F.collect_list("idx").alias("hits"))
     runs = phrases.join(hits, "rid").mapInArrow(_runs(min_words), "rid bigint, word int, syms array<bigint>, lens array<smallint>")
-    buckets = max(4, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # a task merges one bucket at a time, so its memory follows the bucket, not the partition
+    buckets = BUCKETS * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     shards = runs.mapInArrow(_shards(min_words, buckets), _SHARD)
     found = materialise(shards.groupBy("bucket").applyInArrow(_merge_bucket(min_words), "rid bigint, start int, n int, peer bigint, sure boolean"))
     open_ = found.where("not sure").select("rid", "start", "n").distinct().groupBy("rid").agg(F.collect_list("start").alias("starts"), F.collect_list("n").alias("sizes"))

@@ -3,18 +3,22 @@
 A byte is coded as a path through a fixed binary tree (short paths for common
 bytes), and each step of a path is predicted by several predictors that see
 different contexts: the last one, two and three bytes, and the word so far.
-Contexts are hashed to slots of a fixed number; a slot holds how often the step
-went either way. A logistic mixer weighs the predictors: the weight set is gated
+Contexts are hashed to slots, ``SPARE`` times as many as the corpus has steps in
+distinct contexts; a slot holds how often the step went either way. A logistic mixer weighs the predictors: the weight set is gated
 by the depth in the tree, starts from weights learned in advance, and is refined
 online within each document, segment after segment, by gradient of coding cost.
 The total cost of all steps over the bytes is the score.
 
-The counts come from the whole corpus: each task counts its documents, the tables
-are added up by a shuffle, and the sums, of fixed size, go to all tasks. So that
-no document predicts itself, the corpus is halved by hash and each half is scored
+The counts come from the whole corpus: a first pass estimates how many steps each
+predictor can meet, each task counts its documents, and a shuffle adds the counts
+up block by block. The tables grow with the corpus, so they go neither through the
+driver nor into the memory of the tasks: each block is written to its place in a
+file in the shared folder, and scoring maps the files, page by page. So that no
+document predicts itself, the corpus is halved by hash and each half is scored
 with the counts of the other.
 
-The starting weights are learned on a bounded sample of ``max_rows`` documents.
+The starting weights of a half are the mean of what all its documents end with, in
+``ROUNDS`` passes over the corpus.
 
 Defined cases
 -------------
@@ -27,24 +31,38 @@ Defined cases
 from __future__ import annotations
 
 import heapq
+import os
+import uuid
 from collections.abc import Iterator
+from urllib.parse import unquote, urlsplit
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from srcgraph.llm.common import _WORD, U64, chunks, lowered, powers, raw_text
+from srcgraph.llm.common import _WORD, CHUNK_BYTES, U64, chunks, lowered, mix, powers, raw_text
+from srcgraph.runtime import shared_dir
 
+#: A table has 2^SLOT_BITS slots at least and is counted, added up and written in blocks of as many.
 SLOT_BITS = 18
 SLOTS = 1 << SLOT_BITS
+#: Contexts and bytes are packed into 64 bits.
+MAX_BITS = 55
 PREDICTORS = 4
-BLOCK = 1 << 15
+#: Slots for each step in a distinct context, at least.
+SPARE = 8
+#: Log odds in files, rounded to 11 bits.
+STORED = np.float16
+#: Registers of the estimate of distinct steps (standard error 1.04 / sqrt(REGISTERS)).
+REGISTERS = 1 << 12
+#: Distinct (context, byte) pairs that a task holds before it sends them on.
+HELD = 1 << 21
 #: Ends of the segments after which the weights of a document are refined; each further one is four times as long.
 FIRST_SEGMENT = 64
 RATE = 0.6
 PRIOR = 0.4
-MAX_ROWS = 400
+ROUNDS = 6
 SCORE_BYTES = 1 << 18
 
 #: Rough shares of bytes in European text. They only shape the tree, not the predictions.
@@ -93,8 +111,9 @@ _LONGER = LENGTH[None] > np.arange(1, DEPTH + 1)[:, None]
 _NODE_HASH = np.random.default_rng(8).integers(0, SLOTS, 256)[NODE]
 
 
-def contexts(buf: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
-    """Hashed context of each byte for each predictor, blind to other documents."""
+def contexts(buf: np.ndarray, offs: np.ndarray, bits: list[int] | None = None) -> list[np.ndarray]:
+    """Context of each byte for each predictor, hashed to as many bits, blind to other documents."""
+    bits = bits or [SLOT_BITS] * PREDICTORS
     n = len(buf)
     start = np.repeat(offs[:-1], np.diff(offs))
     back = np.arange(n) - start
@@ -102,7 +121,7 @@ def contexts(buf: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
     out = []
     for k in range(3):
         c[k + 1 :] |= np.where(back[k + 1 :] > k, buf[: n - k - 1], 0).astype(U64) << U64(8 * k)
-        out.append((((c + U64(1 + k)) * U64(0x9E3779B97F4A7C15)) >> U64(64 - SLOT_BITS)).astype(np.int64))
+        out.append((((c + U64(1 + k)) * U64(0x9E3779B97F4A7C15)) >> U64(64 - bits[k])).astype(np.int64))
     # the word so far: from behind the last other byte
     inside = _WORD[buf]
     border = np.where(inside, -1, np.arange(n)) + 1
@@ -116,40 +135,62 @@ def contexts(buf: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
     np.cumsum((lowered(buf).astype(U64) + U64(1)) * p[:n], out=total[1:])
     h = (total[:-1] - total[first]) * inv[first]
     h ^= h >> U64(31)
-    out.append(((h * U64(0xBF58476D1CE4E5B9)) >> U64(64 - SLOT_BITS)).astype(np.int64))
+    out.append(((h * U64(0xBF58476D1CE4E5B9)) >> U64(64 - bits[3])).astype(np.int64))
     return out
 
 
+def _distinct(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys with the sums of their ``n``."""
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return key[first], np.add.reduceat(n, first)
+
+
+def pairs(c: np.ndarray, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(context << 8 | byte, times): equal bytes in equal contexts take equal steps, so they are counted once."""
+    key, n = np.unique((c.astype(U64) << U64(8)) | buf, return_counts=True)
+    return key, n.astype(np.int64)
+
+
+def steps(key: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Counts of the steps of ``pairs`` in one block (SLOTS * 2). A node moves a slot within its block only."""
+    slot, b = (key >> U64(8)).astype(np.int64) & (SLOTS - 1), (key & U64(255)).astype(np.int64)
+    at, times = [], []
+    for d in range(DEPTH):
+        at.append(((slot ^ _NODE_HASH[d][b]) << 1) | BIT[d][b])
+        times.append(n)
+        keep = LENGTH[b] > d + 1
+        slot, b, n = slot[keep], b[keep], n[keep]
+    # sums of whole numbers, exact in doubles
+    return np.bincount(np.concatenate(at), weights=np.concatenate(times), minlength=2 * SLOTS).astype(np.int64)
+
+
 def count(buf: np.ndarray, offs: np.ndarray, into: np.ndarray) -> None:
-    """Add the steps of these texts to ``into`` (PREDICTORS x SLOTS * 2)."""
+    """Add the steps of these texts to ``into`` (PREDICTORS x SLOTS * 2), tables of one block."""
     for i, c in enumerate(contexts(buf, offs)):
-        # equal bytes in equal contexts take equal steps: count them once
-        key, n = np.unique((c.astype(np.uint32) << np.uint32(8)) | buf, return_counts=True)
-        slot, b = (key >> np.uint32(8)).astype(np.int64), (key & np.uint32(255)).astype(np.int64)
-        steps, times = [], []
-        for d in range(DEPTH):
-            steps.append(((slot ^ _NODE_HASH[d][b]) << 1) | BIT[d][b])
-            times.append(n)
-            keep = LENGTH[b] > d + 1
-            slot, b, n = slot[keep], b[keep], n[keep]
-        # sums of whole numbers, exact in doubles
-        into[i] += np.bincount(np.concatenate(steps), weights=np.concatenate(times), minlength=2 * SLOTS).astype(np.int64)
+        into[i] += steps(*pairs(c, buf))
+
+
+def odds(counts: np.ndarray) -> np.ndarray:
+    """Log odds of each slot from its two counts."""
+    n = counts.reshape(-1, 2)
+    return np.log((n[:, 1] + PRIOR) / (n[:, 0] + PRIOR)).clip(-9, 9).astype(np.float32)
 
 
 def stretch(counts: np.ndarray) -> np.ndarray:
-    """Log odds of each slot (PREDICTORS x SLOTS) from its counts."""
-    n = counts.reshape(PREDICTORS, SLOTS, 2)
-    return np.log((n[..., 1] + PRIOR) / (n[..., 0] + PRIOR)).clip(-9, 9).astype(np.float32)
+    """Log odds (PREDICTORS x SLOTS) of tables of one block."""
+    return odds(counts).reshape(PREDICTORS, -1)
 
 
-def cost(buf: np.ndarray, offs: np.ndarray, table: np.ndarray, weights: np.ndarray, rate: float = RATE) -> tuple[np.ndarray, np.ndarray]:
-    """(bits of each text, weights of each text at its end); ``weights`` (DEPTH x PREDICTORS) are the start of each."""
+def cost(buf: np.ndarray, offs: np.ndarray, table: np.ndarray | list[np.ndarray], weights: np.ndarray, rate: float = RATE) -> tuple[np.ndarray, np.ndarray]:
+    """(bits of each text, weights of each text at its end); ``weights`` (DEPTH x PREDICTORS) are the start of each, ``table`` the log odds of each predictor."""
     docs = len(offs) - 1
     bits = np.zeros(docs)
     w = np.repeat(weights[None].astype(np.float32), docs, axis=0)
     if not len(buf):
         return bits, w
-    ctx = contexts(buf, offs)
+    ctx = contexts(buf, offs, [len(t).bit_length() - 1 for t in table])
     size = np.diff(offs)
     lo, hi = 0, FIRST_SEGMENT
     while True:
@@ -171,7 +212,7 @@ def cost(buf: np.ndarray, offs: np.ndarray, table: np.ndarray, weights: np.ndarr
             s = []
             z = None
             for i in range(PREDICTORS):
-                s.append(table[i][c[i] ^ h])
+                s.append(table[i][c[i] ^ h].astype(np.float32, copy=False))
                 part = np.repeat(mine[:, i], reps)
                 part *= s[i]
                 z = part if z is None else np.add(z, part, out=z)
@@ -195,65 +236,165 @@ def cost(buf: np.ndarray, offs: np.ndarray, table: np.ndarray, weights: np.ndarr
         lo, hi = hi, hi * 4
 
 
-def learn_weights(buf: np.ndarray, offs: np.ndarray, table: np.ndarray, rounds: int = 6) -> np.ndarray:
-    """Starting weights: the mean of what the documents of the sample end with, repeatedly."""
-    w = np.full((DEPTH, PREDICTORS), 0.3, np.float32)
-    if len(offs) > 1 and len(buf):
-        for _ in range(rounds):
-            w = cost(buf, offs, table, w)[1].mean(axis=0)
-    return w
-
-
-def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tables: dict[int, np.ndarray] = {}
-    for batch in batches:
-        buf, offs = raw_text(batch.column(1))
-        half = batch.column(0).to_numpy(zero_copy_only=False)
-        for lo, hi in chunks(offs):
-            for k in (0, 1):
-                rows = np.flatnonzero(half[lo:hi] == k) + lo
-                if len(rows):
-                    b, o = _take(buf, offs, rows)
-                    if k not in tables:
-                        tables[k] = np.zeros((PREDICTORS, 2 * SLOTS), np.int64)
-                    count(b, o, tables[k])
-    for k, t in tables.items():
-        blocks = t.reshape(-1, BLOCK)
-        used = np.flatnonzero(blocks.any(axis=1))
-        for i in used:
-            n = blocks[i].astype(np.int32) if blocks[i].max() < 2**31 else blocks[i]
-            yield pa.RecordBatch.from_arrays([pa.array([k * len(blocks) + int(i)], pa.int32()), pa.array([n.tobytes()], pa.binary())], ["block", "counts"])
-
-
 def _take(buf: np.ndarray, offs: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = offs[rows + 1] - offs[rows]
     o = np.append(0, np.cumsum(n))
     return buf[np.arange(int(o[-1])) + np.repeat(offs[rows] - o[:-1], n)], o
 
 
-def _add_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Running sums by block: memory follows the blocks of the partition, not the number of tasks that counted."""
-    total: dict[int, np.ndarray] = {}
+def _halves(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(half, bytes, offsets) of runs of about ``limit`` bytes of (half, text)."""
     for batch in batches:
-        for k, c in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            raw = c.as_buffer()
-            n = np.frombuffer(raw, np.int32 if raw.size == 4 * BLOCK else np.int64)
-            total[k] = total[k] + n if k in total else n.astype(np.int64)
-    for k, n in total.items():
-        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([n.tobytes()], pa.binary())], ["block", "counts"])
+        buf, offs = raw_text(batch.column(1))
+        half = batch.column(0).to_numpy(zero_copy_only=False)
+        for k in (0, 1):
+            mine = np.flatnonzero(half == k)
+            size = np.append(0, np.cumsum(offs[mine + 1] - offs[mine]))
+            for lo, hi in chunks(size, limit):
+                yield k, *_take(buf, offs, mine[lo:hi])
+
+
+def _register_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each half and predictor the registers of a HyperLogLog of (context, node)."""
+    top = np.zeros((2, PREDICTORS, REGISTERS), np.uint8)
+    for k, buf, offs in _halves(batches, CHUNK_BYTES):
+        for i, c in enumerate(contexts(buf, offs, [MAX_BITS] * PREDICTORS)):
+            key = pairs(c, buf)[0]
+            c, b = key >> U64(8), (key & U64(255)).astype(np.int64)
+            for d in range(DEPTH):
+                h = mix((c << U64(8)) | NODE[d][b].astype(U64))
+                # the place of the first one among the bits that name no register, from below
+                low = h >> U64(12)
+                rank = np.bitwise_count((low & (~low + U64(1))) - U64(1)).astype(np.uint8) + np.uint8(1)
+                np.maximum.at(top[k, i], (h & U64(REGISTERS - 1)).astype(np.int64), rank)
+                keep = LENGTH[b] > d + 1
+                c, b = c[keep], b[keep]
+    yield pa.RecordBatch.from_arrays([pa.array([top.tobytes()], pa.binary())], ["registers"])
+
+
+def table_bits(halved: DataFrame) -> list[int]:
+    """Bits of the slots of each predictor, by the steps in distinct contexts of the larger half."""
+    top = np.zeros((2, PREDICTORS, REGISTERS), np.uint8)
+    for r in halved.mapInArrow(_register_batches, "registers binary").collect():
+        np.maximum(top, np.frombuffer(bytes(r.registers), np.uint8).reshape(top.shape), out=top)
+    n = 0.7213 / (1 + 1.079 / REGISTERS) * REGISTERS**2 / np.exp2(-top.astype(float)).sum(axis=-1)
+    return [min(MAX_BITS, max(SLOT_BITS, int(np.ceil(np.log2(SPARE * x))))) for x in n.max(axis=0)]
+
+
+def _count_batches(bits: list[int]):
+    starts = np.cumsum([0, *[1 << (b - SLOT_BITS) for b in bits]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for (k, i), parts in held.items():
+                key, n = _distinct(*map(np.concatenate, zip(*parts, strict=True)))
+                block = (key >> U64(8 + SLOT_BITS)).astype(np.int64)
+                cut = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+                ends = np.append(cut[1:], len(key))
+                low = (key & U64((1 << (8 + SLOT_BITS)) - 1)).astype(np.uint32)
+                at = k * starts[-1] + starts[i] + block[cut]
+                for lo in range(0, len(cut), 64):
+                    hi = min(lo + 64, len(cut))
+                    both = [pa.array([x[a:b].tobytes() for a, b in zip(cut[lo:hi], ends[lo:hi], strict=True)], pa.binary()) for x in (low, n)]
+                    yield pa.RecordBatch.from_arrays([pa.array(at[lo:hi], pa.int64()), *both], ["block", "pairs", "times"])
+            held.clear()
+
+        for k, buf, offs in _halves(batches, CHUNK_BYTES):
+            for i, c in enumerate(contexts(buf, offs, bits)):
+                held.setdefault((k, i), []).append(pairs(c, buf))
+            if sum(len(p[0]) for parts in held.values() for p in parts) > HELD:
+                for at, parts in held.items():
+                    held[at] = [_distinct(*map(np.concatenate, zip(*parts, strict=True)))]
+                if sum(len(parts[0][0]) for parts in held.values()) > HELD // 2:
+                    yield from flush()
+        yield from flush()
+
+    return run
+
+
+def _write_batches(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by block, so one block is held at a time; a block written twice is written alike."""
+        file = os.open(path, os.O_WRONLY)
+
+        def write(block: int, total: np.ndarray) -> None:
+            data = memoryview(odds(total).astype(STORED).view(np.uint8))
+            at = block * SLOTS * STORED().itemsize
+            while data:
+                done = os.pwrite(file, data, at)
+                data, at = data[done:], at + done
+
+        try:
+            now, total, blocks = -1, None, 0
+            for batch in batches:
+                for block, key, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                    if block != now:
+                        if total is not None:
+                            write(now, total)
+                        now, total, blocks = block, np.zeros(2 * SLOTS, np.int64), blocks + 1
+                    total += steps(np.frombuffer(key.as_buffer(), np.uint32).astype(U64), np.frombuffer(n.as_buffer(), np.int64))
+            if total is not None:
+                write(now, total)
+            os.fsync(file)
+        finally:
+            os.close(file)
+        yield pa.RecordBatch.from_arrays([pa.array([blocks], pa.int64())], ["blocks"])
+
+    return run
+
+
+def _tables(path: str, bits: list[int]) -> list[list[np.ndarray]]:
+    """Log odds by half and predictor, mapped from the file."""
+    whole, at, out = np.memmap(path, STORED, "r"), 0, []
+    for _ in (0, 1):
+        out.append([])
+        for b in bits:
+            out[-1].append(np.asarray(whole[at : at + (1 << b)]))
+            at += 1 << b
+    return out
 
 
-def gather(halved: DataFrame) -> np.ndarray:
-    """Counts of both halves of the corpus (2 x PREDICTORS x SLOTS * 2), from (half, text)."""
-    each = halved.mapInArrow(_count_batches, "block int, counts binary")
-    rows = each.repartition("block").mapInArrow(_add_batches, "block int, counts binary").collect()
-    out = np.zeros((2 * PREDICTORS * 2 * SLOTS // BLOCK, BLOCK), np.int64)
-    for r in rows:
-        out[r.block] = np.frombuffer(bytes(r.counts), np.int64)
-    return out.reshape(2, PREDICTORS, 2 * SLOTS)
+def gather(halved: DataFrame) -> tuple[str, list[int]]:
+    """(file, bits of each predictor): log odds from both halves of (half, text), in the shared folder."""
+    url = urlsplit(shared_dir(halved.sparkSession))
+    if url.scheme not in ("", "file"):
+        raise RuntimeError("op9_context_mixing maps its tables: spark.checkpoint.dir must be a mounted folder")
+    bits = table_bits(halved)
+    folder = unquote(url.path)
+    os.makedirs(folder, exist_ok=True)
+    path = f"{folder}/srcgraph-{uuid.uuid4().hex}.odds"
+    with open(path, "wb") as f:
+        # what no block is written to stays a hole and reads as 0, the log odds of an unseen slot
+        f.truncate(2 * STORED().itemsize * sum(1 << b for b in bits))
+    each = halved.mapInArrow(_count_batches(bits), "block bigint, pairs binary, times binary")
+    each.repartition("block").sortWithinPartitions("block").mapInArrow(_write_batches(path), "blocks bigint").agg(F.sum("blocks")).collect()
+    return path, bits
+
+
+def learn_weights(halved: DataFrame, path: str, bits: list[int], rounds: int = ROUNDS) -> np.ndarray:
+    """Starting weights of each half: the mean of what all its documents end with, repeatedly."""
+    w = np.full((2, DEPTH, PREDICTORS), 0.3, np.float32)
+    for _ in range(rounds):
+
+        def run(batches: Iterator[pa.RecordBatch], start: np.ndarray = w) -> Iterator[pa.RecordBatch]:
+            tables = _tables(path, bits)
+            total, n = np.zeros(start.shape), np.zeros(2, np.int64)
+            for k, buf, offs in _halves(batches, SCORE_BYTES):
+                total[k] += cost(buf, offs, tables[1 - k], start[k])[1].sum(axis=0, dtype=float)
+                n[k] += len(offs) - 1
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], ["total", "n"])
+
+        total, n = np.zeros(w.shape), np.zeros(2, np.int64)
+        for r in halved.mapInArrow(run, "total binary, n binary").collect():
+            total += np.frombuffer(bytes(r.total)).reshape(w.shape)
+            n += np.frombuffer(bytes(r.n), np.int64)
+        w = np.where(n[:, None, None] > 0, total / np.maximum(n, 1)[:, None, None], w).astype(np.float32)
+    return w
 
 
-def score(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+def score(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, total_bits, bits_per_byte) of every document."""
     text = docs["text"].cast("string")
     half = F.pmod(F.xxhash64(F.lit("half"), text), F.lit(2)).cast("int")
@@ -262,20 +403,16 @@ def score(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     if halved.rdd.getNumPartitions() < cores:
         # a table of few files is spread over all cores: coding costs far more than moving so small a text
         halved = halved.repartition(cores)
-    counts = gather(halved.where("text <> ''").select("half", "text"))
-    # each half is scored with the counts of the other
-    tables = np.stack([stretch(counts[1]), stretch(counts[0])])
-    sample = halved.where("text <> ''").select("half", "text").orderBy(F.xxhash64("text"), "text").limit(max_rows).collect()
-    weights = []
-    for k in (0, 1):
-        buf, offs = raw_text(pa.array([r.text for r in sample if r.half == k], pa.string()))
-        weights.append(learn_weights(buf, offs, tables[k]))
+    full = halved.where("text <> ''").select("half", "text")
+    path, bits = gather(full)
+    weights = learn_weights(full, path, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = _tables(path, bits)
         for batch in batches:
             buf, offs = raw_text(batch.column(1))
             half = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-            bits = np.zeros(batch.num_rows)
+            spent = np.zeros(batch.num_rows)
             for k in (0, 1):
                 mine = np.flatnonzero(half == k)
                 if not len(mine):
@@ -283,11 +420,12 @@ def score(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
                 size = np.append(0, np.cumsum(offs[mine + 1] - offs[mine]))
                 for lo, hi in chunks(size, SCORE_BYTES):
                     rows = mine[lo:hi]
-                    bits[rows] = cost(*_take(buf, offs, rows), tables[k], weights[k])[0]
+                    # each half is scored with the counts of the other
+                    spent[rows] = cost(*_take(buf, offs, rows), tables[1 - k], weights[k])[0]
             n = np.diff(offs)
-            each = np.divide(bits, n, out=np.zeros(len(n)), where=n > 0)
+            each = np.divide(spent, n, out=np.zeros(len(n)), where=n > 0)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(2), pa.array(n), pa.array(np.round(bits, 2)), pa.array(np.round(each, 4), mask=n == 0)], ["doc_id", "n_bytes", "total_bits", "bits_per_byte"]
+                [batch.column(2), pa.array(n), pa.array(np.round(spent, 2)), pa.array(np.round(each, 4), mask=n == 0)], ["doc_id", "n_bytes", "total_bits", "bits_per_byte"]
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()

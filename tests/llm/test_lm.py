@@ -103,3 +103,40 @@ def test_score(make_docs):
     again = {r.doc_id: r.bits_per_byte for r in lm.score(docs.repartition(3)).collect()}
     assert all(abs((again[i] or 0) - (got[i][0].bits_per_byte or 0)) <= 2e-4 for i in got)
     assert lm.score(docs.where(F.lit(False))).count() == 0
+
+
+def test_tables_grow_with_the_distinct_contexts(make_docs):
+    rng = random.Random(5)
+    rows = [(i, " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(400)), "en", "a") for i in range(60)]
+    halved = make_docs(rows).select(F.pmod("doc_id", F.lit(2)).cast("int").alias("half"), "text")
+    path, bits = lm.gather(halved)
+    tables = lm._tables(path, bits)
+    for k in (0, 1):
+        buf, offs = raw_text(pa.array([t for i, t, *_ in rows if i % 2 == k]))
+        # slots of (context, node) as the sizes say, and exact counts of them with contexts that don't collide
+        wide, hashed = lm.contexts(buf, offs, [lm.MAX_BITS] * lm.PREDICTORS), lm.contexts(buf, offs, bits)
+        for i in range(lm.PREDICTORS):
+            exact, slots = {}, {}
+            for c, s, b in zip(wide[i].tolist(), hashed[i].tolist(), buf.tolist()):
+                for node, bit, h in _steps(b):
+                    exact.setdefault((c, node), [0, 0])[bit] += 1
+                    slots[c, node] = s ^ h
+            assert len(exact) <= 2 ** bits[i] / 6
+            same = sum(abs(tables[k][i][slots[x]] - lm.odds(np.array(n))[0]) < 5e-3 for x, n in exact.items())
+            assert same >= 0.8 * len(exact)
+    assert bits[3] > 18 and bits[0] == 18
+
+
+def test_starting_weights_are_means_over_all_documents(make_docs):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(9)) for _ in range(30)), "en", "a") for i in range(500)]
+    halved = make_docs(rows).select(F.pmod("doc_id", F.lit(2)).cast("int").alias("half"), "text")
+    path, bits = lm.gather(halved)
+    tables = lm._tables(path, bits)
+    got = lm.learn_weights(halved, path, bits, rounds=2)
+    for k in (0, 1):
+        buf, offs = raw_text(pa.array([t for i, t, *_ in rows if i % 2 == k]))
+        w = np.full((lm.DEPTH, lm.PREDICTORS), 0.3, np.float32)
+        for _ in range(2):
+            w = lm.cost(buf, offs, tables[1 - k], w)[1].mean(axis=0)
+        assert np.abs(got[k] - w).max() < 1e-4

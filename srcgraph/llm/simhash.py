@@ -5,8 +5,9 @@ duplicates when their signatures differ in at most ``max_distance`` bits. Equal
 signatures are merged first. The others enter several tries, each over its own
 random permutation of the bits. A query starts deep in a trie and climbs to
 shorter prefixes until its recall target is met: at the target depth ``d`` a
-pair at the distance aimed at shares a prefix with probability ``p**d``, and
-the number of tries makes up for the rest. Where the trie is sparse it climbs on,
+pair at the distance ``max_distance`` shares a prefix with the probability that
+``d`` bits drawn without repetition miss all bits that differ, and the number of
+tries makes up for the rest, so all pairs that count are searched for alike. Where the trie is sparse it climbs on,
 for free, as long as the node it reaches stays small. Every pair below the node
 reached is verified on all 128 bits; nothing is capped.
 
@@ -42,8 +43,7 @@ from srcgraph.llm.common import U64, chunks, fresh, materialise, mix, raw_text,
 
 BITS = 128
 MAX_DISTANCE = 26
-#: Recall aimed at for pairs at this distance; nearer pairs are found more surely.
-AIM_DISTANCE = 20
+#: Recall aimed at for pairs at ``max_distance``; nearer pairs are found more surely.
 RECALL = 0.95
 #: Signatures below a node up to which a query goes on climbing.
 SMALL_NODE = 384
@@ -110,10 +110,13 @@ def signatures(docs: DataFrame, rid: str) -> DataFrame:
 
 
 # ---------------------------------------------------------------- forest
-def shape(n: int, recall: float, aim: int = AIM_DISTANCE) -> tuple[int, int]:
+def shape(n: int, recall: float, aim: int = MAX_DISTANCE) -> tuple[int, int]:
     """(target depth, tries): nodes of about NODE signatures, and tries enough for the recall target at distance ``aim``."""
     depth = max(1, min(KEY_BITS, round(math.log2(max(n, 2) / NODE))))
-    hit = (1 - aim / BITS) ** depth
+    # the bits of a prefix are drawn without repetition, as _keys does
+    hit = math.prod(max(0, BITS - aim - i) / (BITS - i) for i in range(depth))
+    if hit == 0:
+        raise ValueError("no prefix of this depth is shared at that distance")
     return depth, max(1, math.ceil(math.log(1 - recall) / math.log(1 - hit)) if hit < 1 else 1)
 
 
@@ -237,7 +240,7 @@ def _search(top: int, depth: int, max_distance: int):
 
 def links(distinct: DataFrame, max_distance: int = MAX_DISTANCE, recall: float = RECALL) -> DataFrame:
     """(u, v) with u > v: links that span the near-duplicate groups of ``distinct`` (node, s0, s1)."""
-    depth, tries = shape(distinct.count(), recall, min(AIM_DISTANCE, max_distance))
+    depth, tries = shape(distinct.count(), recall, max_distance)
     top = max(0, depth - CLIMB)
     planted = distinct.select("node", "s0", "s1").mapInArrow(_plant(tries, top), "place bigint, key bigint, node bigint, s0 bigint, s1 bigint")
     return planted.repartition("place").sortWithinPartitions("place").mapInArrow(_search(top, depth, max_distance), "u bigint, v bigint").distinct()

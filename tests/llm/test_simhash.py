@@ -64,6 +64,38 @@ def test_recall_of_pairs_on_a_dense_forest():
     assert sum((i, i + 4000) in found for i in range(4000)) / 4000 >= 0.9
 
 
+def test_recall_at_the_largest_distance_on_a_deep_forest(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "NODE", 2)
+    monkeypatch.setattr(simhash, "SMALL_NODE", 2)
+    rng = np.random.default_rng(4)
+    n = 4000
+    base = rng.integers(0, 2**63, (n, 2)).astype(np.uint64) * np.uint64(2) + rng.integers(0, 2, (n, 2)).astype(np.uint64)
+    flip = np.zeros((n, 128), np.uint8)
+    for i in range(n):
+        flip[i, rng.choice(128, simhash.MAX_DISTANCE, replace=False)] = 1
+    sig = np.concatenate([base, base ^ np.packbits(flip, axis=1, bitorder="little").view(np.uint64)])
+    asked = []
+    shape = simhash.shape
+    monkeypatch.setattr(simhash, "shape", lambda *a: asked.append(shape(*a)) or asked[-1])
+    rows = [(i, *s) for i, s in enumerate(sig.view(np.int64).tolist())]
+    simhash.links(spark.createDataFrame(rows, "node long, s0 long, s1 long"))
+    depth, tries = asked[0]
+    assert depth >= 12
+    top = max(0, depth - simhash.CLIMB)
+    found = np.zeros(n, bool)
+    for k in range(tries):
+        key = simhash._keys(sig, k)
+        order = np.argsort(key >> (simhash.KEY_BITS - top), kind="stable")
+        place = (key >> (simhash.KEY_BITS - top))[order]
+        cut = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+        for lo, hi in zip(cut, np.append(cut[1:], len(place)), strict=True):
+            at = order[lo:hi]
+            a, b = simhash.near_pairs(key[at], sig[at], top, depth, simhash.MAX_DISTANCE, keep_all=True)
+            x, y = at[a], at[b]
+            found[np.minimum(x, y)[np.abs(x - y) == n]] = True
+    assert found.mean() >= 0.93
+
+
 def test_edge_cases(make_docs):
     long = " ".join(WORDS * 3000)
     rows = [(1, None, "en", "a", 7), (2, "", None, None, 7), (3, "%%% !!", "en", "a", 7), (None, long, "en", "a", 7), (5, long, "en", "a", None), (5, long, "en", "a", None), (6, "word", "en", "a", 1), (7, "Word!", "en", "a", 1), (8, "other", None, "a", 1)]

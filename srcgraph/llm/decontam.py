@@ -6,7 +6,10 @@ number by UNIT, capitalised words inside a sentence by NAME. What is left is the
 template. Hashes of its windows are joined with those of the benchmark; an item
 counts as found where at least ``min_cover`` of its windows occur in a document
 and the slots agree: whatever fills a placeholder of the item maps to one value
-of the document each time, and different values stay different.
+of the document each time, and different values stay different. A document may
+hold an item several times with different values, so matches are judged together
+and, where they don't agree, by alignment (equal shift, or a stretch of increasing
+positions); one alignment that reaches both is enough, the fullest is reported.
 
 The benchmark's windows are looked up in a hash table broadcast to the tasks
 while there are at most ``BROADCAST_WINDOWS`` of them; beyond that the
@@ -138,29 +141,55 @@ class Benchmark:
         none = np.zeros(0, np.int64)
         return np.concatenate([none, *at_all]), np.concatenate([none, *to_all])
 
-    def judge(self, item: int, pos: np.ndarray, at: np.ndarray, kind: np.ndarray, value: np.ndarray, min_cover: float, min_agree: float) -> tuple[int, float] | None:
-        """(windows found, agreement of slots) if the item is in the document, whose tokens are ``kind`` and ``value``."""
-        found = len(np.unique(pos))
-        if found < min_cover * self.total[item]:
-            return None
-        size = int(self.size[item])
-        step = np.arange(size)
-        mine, theirs = (pos[:, None] + step).ravel() + self.start[item], (at[:, None] + step).ravel()
-        slot = self.kind[mine] > 0
-        if not slot.any():
-            return found, 1.0
-        pairs = np.unique(np.stack([self.start[item] * 0 + mine[slot], theirs[slot]]), axis=1)
-        a, b = self.value[pairs[0]], value[pairs[1]]
-
-        def best(x: np.ndarray, y: np.ndarray) -> int:
-            # occurrences that agree with the commonest partner of their value
-            xy, n = np.unique(np.stack([x, y]), axis=1, return_counts=True)
-            order = np.lexsort((-n, xy[0]))
-            lead = np.append(True, xy[0][order][1:] != xy[0][order][:-1])
-            return int(n[order][lead].sum())
-
-        agree = min(best(a, b), best(b, a)) / len(a)
-        return (found, agree) if agree >= min_agree else None
+
+def alignments(pos: np.ndarray, at: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    """Groups of matches that may be one occurrence: those of one shift, and stretches in which the places in item and document go on together."""
+    for key, order in ((at - pos, np.lexsort((at, at - pos))), (None, np.lexsort((pos, at)))):
+        if key is None:
+            p, a = np.diff(pos[order]), np.diff(at[order])
+            new = (p <= 0) | (a > p + 2 * size)
+        else:
+            new = np.diff(key[order]) != 0
+        cut = np.flatnonzero(np.append(True, new))
+        yield from np.split(order, cut[1:])
+
+
+def _agreement(pos: np.ndarray, at: np.ndarray, slot: np.ndarray, mine: np.ndarray, theirs: np.ndarray) -> float:
+    """Share of the slots (matches x window) of a group of matches that agree with the commonest partner of their value."""
+    if not slot.any():
+        return 1.0
+    step = np.arange(slot.shape[1])
+    _, one = np.unique(np.stack([(pos[:, None] + step)[slot], (at[:, None] + step)[slot]]), axis=1, return_index=True)
+    a, b = mine[slot][one], theirs[slot][one]
+
+    def best(x: np.ndarray, y: np.ndarray) -> int:
+        xy, n = np.unique(np.stack([x, y]), axis=1, return_counts=True)
+        order = np.lexsort((-n, xy[0]))
+        lead = np.append(True, xy[0][order][1:] != xy[0][order][:-1])
+        return int(n[order][lead].sum())
+
+    return min(best(a, b), best(b, a)) / len(a)
+
+
+def judge(total: int, pos: np.ndarray, at: np.ndarray, slot: np.ndarray, mine: np.ndarray, theirs: np.ndarray, min_cover: float, min_agree: float) -> tuple[int, float] | None:
+    """(windows found, agreement of slots) if the item is in the document.
+
+    ``pos`` and ``at`` are the places of the matches in item and document; ``slot``, ``mine`` and ``theirs`` (matches x window) their slots and values.
+    """
+    need = min_cover * total
+    found = len(np.unique(pos))
+    if found < need:
+        return None
+    agree = _agreement(pos, at, slot, mine, theirs)
+    if agree >= min_agree:
+        return found, agree
+    best = None
+    for g in alignments(pos, at, slot.shape[1]):
+        if len(g) >= need and (n := len(np.unique(pos[g]))) >= need:
+            agree = _agreement(pos[g], at[g], slot[g], mine[g], theirs[g])
+            if agree >= min_agree:
+                best = max(best or (0, 0.0), (n, agree))
+    return best
 
 
 _OUT = "rid bigint, item int, windows int, cover double, agreement double"
@@ -183,7 +212,9 @@ def _scan(bench: Benchmark, min_cover: float, min_agree: float):
                 cut = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
                 for a, b in zip(cut, np.append(cut[1:], len(key)), strict=True):
                     item = int(bench.item[to[a]])
-                    got = bench.judge(item, bench.pos[to[a:b]], at[a:b], tok.kind, tok.value, min_cover, min_agree)
+                    pos, step = bench.pos[to[a:b]], np.arange(int(bench.size[item]))
+                    mine, theirs = pos[:, None] + bench.start[item] + step, at[a:b, None] + step
+                    got = judge(int(bench.total[item]), pos, at[a:b], bench.kind[mine] > 0, bench.value[mine], tok.value[theirs], min_cover, min_agree)
                     if got:
                         rows.append((rid[lo + int(tok.row[at[a]])].as_py(), item, got[0], round(got[0] / int(bench.total[item]), 6), round(got[1], 6)))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
@@ -234,18 +265,19 @@ def _joined(docs: DataFrame, bench_rows: DataFrame, window: int, min_item: int,
     mine = mine.select(F.col("key").alias("item"), "hash", F.col("pos").alias("ipos"), F.col("kinds").alias("ikinds"), F.col("values").alias("ivalues"))
     total = mine.groupBy("item").agg(F.count("*").alias("total"))
     met = theirs.join(mine, "hash").withColumnRenamed("key", "rid")
-    seen = met.groupBy("rid", "item").agg(F.countDistinct("ipos").alias("windows")).join(total, "item").where(F.col("windows") >= min_cover * F.col("total"))
-    slots = met.select("rid", "item", F.explode(F.arrays_zip(F.sequence("ipos", F.col("ipos") + F.size("ivalues") - 1).alias("i"), F.sequence("pos", F.col("pos") + F.size("ivalues") - 1).alias("d"), "ikinds", "ivalues", "values")).alias("z"))
-    slots = slots.where("z.ikinds > 0").select("rid", "item", "z.i", "z.d", F.col("z.ivalues").alias("a"), F.col("z.values").alias("b")).distinct()
-    pair = slots.groupBy("rid", "item", "a", "b").agg(F.count("*").alias("n"))
-    all_ = pair.groupBy("rid", "item").agg(F.sum("n").alias("n"))
-    fore = pair.groupBy("rid", "item", "a").agg(F.max("n").alias("n")).groupBy("rid", "item").agg(F.sum("n").alias("f"))
-    back = pair.groupBy("rid", "item", "b").agg(F.max("n").alias("n")).groupBy("rid", "item").agg(F.sum("n").alias("g"))
-    agree = all_.join(fore, ["rid", "item"]).join(back, ["rid", "item"]).select("rid", "item", (F.least("f", "g") / F.col("n")).alias("agreement"))
-    out = seen.join(agree, ["rid", "item"], "left").withColumn("agreement", F.coalesce("agreement", F.lit(1.0)))
-    return out.where(F.col("agreement") >= min_agree).select(
-        "rid", "item", F.col("windows").cast("int").alias("windows"), F.round(F.col("windows") / F.col("total"), 6).alias("cover"), F.round("agreement", 6).alias("agreement")
-    )
+    seen = met.groupBy("rid", "item").agg(F.countDistinct("ipos").alias("windows")).join(total, "item").where(F.col("windows") >= min_cover * F.col("total")).drop("windows")
+
+    def decide(group: pa.Table) -> pa.Table:
+        pos, at = (group.column(c).to_numpy().astype(np.int64) for c in ("ipos", "pos"))
+        kinds, own, theirs = (group.column(c).combine_chunks().flatten().to_numpy().reshape(len(pos), -1) for c in ("ikinds", "ivalues", "values"))
+        all_ = group.column("total")[0].as_py()
+        got = judge(all_, pos, at, kinds > 0, own, theirs, min_cover, min_agree)
+        rows = [(group.column("rid")[0].as_py(), group.column("item")[0].as_py(), got[0], round(got[0] / all_, 6), round(got[1], 6))] if got else []
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64()]
+        return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["rid", "item", "windows", "cover", "agreement"])
+
+    return met.join(seen, ["rid", "item"]).groupBy("rid", "item").applyInArrow(decide, _OUT.replace("item int", "item bigint"))
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, window: int, min_cover: float, min_agree: float, min_item: int, limit: int) -> DataFrame:

@@ -81,3 +81,14 @@ def test_random_edits_are_caught(make_docs, bench):
         w[rng.randrange(len(w))] = "zzz"
         rows.append((i, "intro words first. " + " ".join(w), "en", "a"))
     assert len({r.doc_id for r in decontam.leaks(make_docs(rows), bench).collect()}) >= 18
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0], ids=["broadcast", "shuffled"])
+def test_variants_beside_each_other(make_docs, bench, limit):
+    other = "Carl buys 7 lb of apples for Dora and pays 40 euros while Dora keeps 7 of them in the large cellar until winter comes again."
+    third = "Emil buys 9 oz of apples for Fred and pays 55 cents while Fred keeps 9 of them in the large cellar until winter comes again."
+    wrong = "Carl buys 7 lb of apples for Dora and pays 40 euros while Emil keeps 9 of them in the large cellar until winter comes again."
+    docs = make_docs([(1, f"{ITEM} {other}", "en", "a"), (2, f"{other} And so. {third} {ITEM}", "en", "a"), (3, f"{wrong} {wrong}", "en", "a"), (4, f"{other} {third}", "en", "a")])
+    got = decontam.leaks(docs, bench, min_agree=0.9, limit=limit)
+    assert _ids(got) == [(1, 1), (2, 1), (4, 1)]
+    assert all(r.agreement >= 0.9 and r.cover >= 0.5 for r in got.collect())

@@ -14,7 +14,8 @@ positions); one alignment that reaches both is enough, the fullest is reported.
 The benchmark's windows are looked up in a hash table broadcast to the tasks
 while there are at most ``BROADCAST_WINDOWS`` of them; beyond that the
 documents' windows are joined with the benchmark's in a shuffle and only matched
-positions are regrouped. Both ways return the same rows.
+positions are regrouped. Both ways choose an item's windows by the same rule
+(``chosen``) and return the same rows.
 
 Defined cases
 -------------
@@ -22,6 +23,7 @@ Defined cases
 * Items shorter than a window are matched whole, from ``min_item`` tokens on;
   shorter ones aren't searched.
 * Windows with fewer than half literal tokens say nothing and are left out of both sides.
+  An item without any other window is searched by its exact words, all of its windows.
 * Repeated items give a row each, repeated documents too. Null ids are carried
   as nulls. An empty table on either side gives an empty result.
 * Long texts are searched whole. Extra columns are carried through by ``keep_documents``.
@@ -45,6 +47,8 @@ MIN_AGREE = 0.75
 BROADCAST_WINDOWS = 1 << 20
 
 NUM, UNIT, NAME = U64(1), U64(2), U64(3)
+#: Forms of windows: placeholders for what changes, or the words as they are.
+TEMPLATE, EXACT = 0, 1
 UNITS = """mm cm m km in ft yd mi mile miles meter meters metre metres inch inches foot feet yard yards mg g kg lb lbs oz ton tons gram grams kilogram
 kilograms pound pounds ounce ounces ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks
 month months year years dollar dollars euro euros cent cents percent usd eur degree degrees mph kmh heures heure jours jour ans an stunden stunde tage tag
@@ -82,16 +86,34 @@ class Tokens:
             self.kind[digit] = NUM
         self.shape = np.where(self.kind > 0, self.kind.astype(U64), h)
 
-    def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """(first token, hash) of the windows of ``size`` tokens that have enough literals."""
-        h = rolling(self.shape, size)
+    def windows(self, size: int, form: int = TEMPLATE) -> tuple[np.ndarray, np.ndarray]:
+        """(first token, hash) of the windows of ``size`` tokens; of templates those that have enough literals."""
+        h = rolling(self.value if form == EXACT else self.shape, size)
         m = len(h)
         if not m:
             return np.zeros(0, np.int64), h
-        literal = np.append(0, np.cumsum(self.kind == 0))
-        good = (self.row[:m] == self.row[size - 1 :]) & (2 * (literal[size:] - literal[:m]) >= size)
+        good = self.row[:m] == self.row[size - 1 :]
+        if form != EXACT:
+            literal = np.append(0, np.cumsum(self.kind == 0))
+            good &= 2 * (literal[size:] - literal[:m]) >= size
         at = np.flatnonzero(good)
-        return at, mix(h[at] + U64(size))
+        return at, mix(h[at] + U64(size + 256 * form))
+
+
+def chosen(tok: Tokens, items: int, window: int, min_item: int) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(size, form, first tokens, hashes) of the windows that items are searched by: of ``window`` tokens, or the whole of a shorter item."""
+    length = np.bincount(tok.row, minlength=items)
+    size = np.where(length >= window, window, np.where(length >= min_item, length, 0))
+    out, done = [], np.zeros(items, bool)
+    for n in sorted({int(x) for x in size if x}):
+        for form in (TEMPLATE, EXACT):
+            at, h = tok.windows(n, form)
+            of = tok.row[at]
+            mine = (size[of] == n) & ~done[of]
+            if mine.any():
+                out.append((n, form, at[mine], h[mine]))
+                done[of[mine]] = True
+    return out
 
 
 _UNIT_HASHES = _hashes(UNITS)
@@ -105,23 +127,21 @@ class Benchmark:
         buf, offs = raw_text(pa.array([t for _, t in items], pa.string()))
         tok = Tokens(buf, offs)
         self.start = np.searchsorted(tok.row, np.arange(len(items) + 1))
-        length = np.diff(self.start)
-        size = np.where(length >= window, window, np.where(length >= min_item, length, 0))
+        self.size = np.zeros(len(items), np.int64)
         hashes, item, pos = [], [], []
-        self.sizes = sorted({int(x) for x in size if x})
-        for n in self.sizes:
-            at, h = tok.windows(n)
+        self.forms = []
+        for n, form, at, h in chosen(tok, len(items), window, min_item):
             of = tok.row[at]
-            mine = size[of] == n
-            hashes.append(h[mine])
-            item.append(of[mine])
-            pos.append(at[mine] - self.start[of[mine]])
+            self.size[of] = n
+            self.forms.append((n, form))
+            hashes.append(h)
+            item.append(of)
+            pos.append(at - self.start[of])
         none = np.zeros(0, np.int64)
         self.hash = np.concatenate([np.zeros(0, U64), *hashes])
         self.item, self.pos = np.concatenate([none, *item]), np.concatenate([none, *pos])
         order = np.argsort(self.hash, kind="stable")
         self.hash, self.item, self.pos = self.hash[order], self.item[order], self.pos[order]
-        self.size = size
         self.total = np.bincount(self.item, minlength=len(items))
         self.kind, self.value = tok.kind, tok.value
         self.sieve = np.zeros(1 << 18, bool)
@@ -130,8 +150,8 @@ class Benchmark:
     def matches(self, tok: Tokens) -> tuple[np.ndarray, np.ndarray]:
         """(token, entry of the sorted windows) of every occurrence."""
         at_all, to_all = [], []
-        for n in self.sizes:
-            at, h = tok.windows(n)
+        for n, form in self.forms:
+            at, h = tok.windows(n, form)
             maybe = self.sieve[(h & U64((1 << 18) - 1)).astype(np.int64)]
             at, h = at[maybe], h[maybe]
             lo, hi = np.searchsorted(self.hash, h, side="left"), np.searchsorted(self.hash, h, side="right")
@@ -224,8 +244,8 @@ def _scan(bench: Benchmark, min_cover: float, min_agree: float):
     return run
 
 
-def _window_rows(sizes: list[int]):
-    """Every window of a text with the values of its tokens, for the shuffled join."""
+def _window_rows(pick):
+    """Windows of texts with the values of their tokens, for the shuffled join; ``pick`` gives them as ``chosen`` does, from tokens and the number of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,8 +253,7 @@ def _window_rows(sizes: list[int]):
             for lo, hi in chunks(offs):
                 tok = Tokens(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
                 start = np.searchsorted(tok.row, np.arange(hi - lo))
-                for n in sizes:
-                    at, h = tok.windows(n)
+                for n, form, at, h in pick(tok, hi - lo):
                     if not len(at):
                         continue
                     span = (at[:, None] + np.arange(n)).ravel()
@@ -242,12 +261,13 @@ def _window_rows(sizes: list[int]):
                     yield pa.RecordBatch.from_arrays(
                         [
                             batch.column(0).slice(lo, hi - lo).take(pa.array(tok.row[at])),
+                            pa.array(np.full(len(at), form, np.int32)),
                             pa.array(h.view(np.int64)),
                             pa.array((at - start[tok.row[at]]).astype(np.int32)),
                             pa.ListArray.from_arrays(ends, pa.array(tok.kind[span].astype(np.int32))),
                             pa.ListArray.from_arrays(ends, pa.array(tok.value[span].view(np.int64))),
                         ],
-                        ["key", "hash", "pos", "kinds", "values"],
+                        ["key", "form", "hash", "pos", "kinds", "values"],
                     )
 
     return run
@@ -255,15 +275,13 @@ def _window_rows(sizes: list[int]):
 
 def _joined(docs: DataFrame, bench_rows: DataFrame, window: int, min_item: int, min_cover: float, min_agree: float) -> DataFrame:
     """The shuffled way, for a benchmark too large to broadcast: windows of both sides meet on their hash."""
-    sizes = list(range(min_item, window + 1))
-    schema = "key bigint, hash bigint, pos int, kinds array<int>, values array<bigint>"
-    theirs = docs.mapInArrow(_window_rows(sizes), schema)
-    mine = bench_rows.mapInArrow(_window_rows(sizes), schema)
-    # short items are matched whole: of theirs only the window of their own length counts
-    longest = mine.groupBy("key").agg(F.max(F.size("values")).alias("n"))
-    mine = mine.join(longest, "key").where(F.size("values") == F.col("n")).drop("n")
+    schema = "key bigint, form int, hash bigint, pos int, kinds array<int>, values array<bigint>"
+    mine = materialise(bench_rows.mapInArrow(_window_rows(lambda tok, items: chosen(tok, items, window, min_item)), schema))
+    # a few sizes and forms
+    forms = [tuple(r) for r in mine.select(F.size("values"), "form").distinct().collect()]
+    theirs = docs.mapInArrow(_window_rows(lambda tok, _: [(n, form, *tok.windows(n, form)) for n, form in forms]), schema).drop("form")
     mine = mine.select(F.col("key").alias("item"), "hash", F.col("pos").alias("ipos"), F.col("kinds").alias("ikinds"), F.col("values").alias("ivalues"))
-    total = mine.groupBy("item").agg(F.count("*").alias("total"))
+    total = mine.groupBy("item").agg(F.countDistinct("ipos").alias("total"))
     met = theirs.join(mine, "hash").withColumnRenamed("key", "rid")
     seen = met.groupBy("rid", "item").agg(F.countDistinct("ipos").alias("windows")).join(total, "item").where(F.col("windows") >= min_cover * F.col("total")).drop("windows")
 

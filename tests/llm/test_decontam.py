@@ -92,3 +92,12 @@ def test_variants_beside_each_other(make_docs, bench, limit):
     got = decontam.leaks(docs, bench, min_agree=0.9, limit=limit)
     assert _ids(got) == [(1, 1), (2, 1), (4, 1)]
     assert all(r.agreement >= 0.9 and r.cover >= 0.5 for r in got.collect())
+
+
+def test_items_of_many_numbers_are_found_in_both_ways(spark, make_docs):
+    rows = [(1, "is 3 more than 4 5 6 7"), (2, "add 1 2 3 to 4 now"), (3, "11 12 13 14 15 16 17 18 19 20"), (4, "the number 4 is more than the number 3 here")]
+    bench = spark.createDataFrame(rows, "item_id long, text string")
+    docs = make_docs([(i, f"Some words before. {t} and some after", "en", "a") for i, t in rows] + [(9, "is 3 more than 4 5 6 8 add 1 2 3 to 5 now", "en", "a")])
+    got = [sorted(map(tuple, decontam.leaks(docs, bench, limit=limit).collect())) for limit in (1 << 20, 0)]
+    assert got[0] == got[1]
+    assert [r[:2] for r in got[0]] == [(i, i) for i, _ in rows]

@@ -2,8 +2,10 @@
 
 Words that a re-parameterised question changes are replaced by typed
 placeholders, on both sides alike: tokens with a digit by NUM, units after a
-number by UNIT, capitalised words inside a sentence by NAME. What is left is the
-template. Hashes of its windows are joined with those of the benchmark; an item
+number by UNIT, capitalised words inside a sentence by NAME. A capitalised word
+that opens a sentence may be a name or not, so its windows are hashed both with
+the word and with a wildcard; where the words differ, they are slots. What is left
+is the template. Hashes of its windows are joined with those of the benchmark; an item
 counts as found where at least ``min_cover`` of its windows occur in a document
 and the slots agree: whatever fills a placeholder of the item maps to one value
 of the document each time, and different values stay different. A document may
@@ -47,8 +49,10 @@ MIN_AGREE = 0.75
 BROADCAST_WINDOWS = 1 << 20
 
 NUM, UNIT, NAME = U64(1), U64(2), U64(3)
-#: Forms of windows: placeholders for what changes, or the words as they are.
-TEMPLATE, EXACT = 0, 1
+#: A capitalised word that opens a sentence, in ``mark``.
+OPENING = U64(4)
+#: Forms of windows: placeholders for what changes, or the words as they are, or placeholders for words that open sentences too.
+TEMPLATE, EXACT, OPEN = 0, 1, 2
 UNITS = """mm cm m km in ft yd mi mile miles meter meters metre metres inch inches foot feet yard yards mg g kg lb lbs oz ton tons gram grams kilogram
 kilograms pound pounds ounce ounces ml l liter liters litre litres gallon gallons s sec second seconds min minute minutes h hour hours day days week weeks
 month months year years dollar dollars euro euros cent cents percent usd eur degree degrees mph kmh heures heure jours jour ans an stunden stunde tage tag
@@ -61,12 +65,13 @@ def _hashes(texts: list[str]) -> np.ndarray:
 
 
 class Tokens:
-    """Template tokens of a run of texts: ``row``, ``kind`` (0 literal), ``shape`` (hash, the same for all of a kind) and ``value``."""
+    """Template tokens of a run of texts: ``row``, ``kind`` (0 literal), ``mark`` (as kind, but OPENING for literals that open a sentence in capitals), ``shape`` (hash, the same for all of a kind) and ``value``."""
 
     def __init__(self, buf: np.ndarray, offs: np.ndarray):
         s, e, row, h = words(buf, offs)
         self.row, self.value, n = row, h, len(h)
         self.kind = np.zeros(n, np.int8)
+        opening = np.zeros(n, bool)
         if n:
             def inside(mask: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
                 total = np.append(0, np.cumsum(mask, dtype=np.int32))
@@ -84,18 +89,26 @@ class Tokens:
             self.kind[capital & ~opens] = NAME
             self.kind[after & np.isin(h, _UNIT_HASHES)] = UNIT
             self.kind[digit] = NUM
+            opening = capital & opens & (self.kind == 0)
+        self.mark = np.where(opening, OPENING.astype(np.int8), self.kind)
         self.shape = np.where(self.kind > 0, self.kind.astype(U64), h)
 
     def windows(self, size: int, form: int = TEMPLATE) -> tuple[np.ndarray, np.ndarray]:
-        """(first token, hash) of the windows of ``size`` tokens; of templates those that have enough literals."""
-        h = rolling(self.value if form == EXACT else self.shape, size)
+        """(first token, hash) of the windows of ``size`` tokens; of templates those that have enough literals, of the form OPEN those that hold such a word."""
+        shape = self.value if form == EXACT else self.shape
+        if form == OPEN:
+            shape = np.where(self.mark == OPENING, OPENING, shape)
+        h = rolling(shape, size)
         m = len(h)
         if not m:
             return np.zeros(0, np.int64), h
         good = self.row[:m] == self.row[size - 1 :]
         if form != EXACT:
-            literal = np.append(0, np.cumsum(self.kind == 0))
+            literal = np.append(0, np.cumsum((self.mark if form == OPEN else self.kind) == 0))
             good &= 2 * (literal[size:] - literal[:m]) >= size
+        if form == OPEN:
+            opening = np.append(0, np.cumsum(self.mark == OPENING))
+            good &= opening[size:] > opening[:m]
         at = np.flatnonzero(good)
         return at, mix(h[at] + U64(size + 256 * form))
 
@@ -106,10 +119,11 @@ def chosen(tok: Tokens, items: int, window: int, min_item: int) -> list[tuple[in
     size = np.where(length >= window, window, np.where(length >= min_item, length, 0))
     out, done = [], np.zeros(items, bool)
     for n in sorted({int(x) for x in size if x}):
-        for form in (TEMPLATE, EXACT):
+        for form in (TEMPLATE, OPEN, EXACT):
             at, h = tok.windows(n, form)
             of = tok.row[at]
-            mine = (size[of] == n) & ~done[of]
+            # windows with a wildcard stand beside the same ones with the word
+            mine = (size[of] == n) & (~done[of] if form != OPEN else True)
             if mine.any():
                 out.append((n, form, at[mine], h[mine]))
                 done[of[mine]] = True
@@ -142,8 +156,8 @@ class Benchmark:
         self.item, self.pos = np.concatenate([none, *item]), np.concatenate([none, *pos])
         order = np.argsort(self.hash, kind="stable")
         self.hash, self.item, self.pos = self.hash[order], self.item[order], self.pos[order]
-        self.total = np.bincount(self.item, minlength=len(items))
-        self.kind, self.value = tok.kind, tok.value
+        self.total = np.bincount(np.unique(np.stack([self.item, self.pos]), axis=1)[0], minlength=len(items))
+        self.mark, self.value = tok.mark, tok.value
         self.sieve = np.zeros(1 << 18, bool)
         self.sieve[(self.hash & U64((1 << 18) - 1)).astype(np.int64)] = True
 
@@ -191,15 +205,19 @@ def _agreement(pos: np.ndarray, at: np.ndarray, slot: np.ndarray, mine: np.ndarr
     return min(best(a, b), best(b, a)) / len(a)
 
 
-def judge(total: int, pos: np.ndarray, at: np.ndarray, slot: np.ndarray, mine: np.ndarray, theirs: np.ndarray, min_cover: float, min_agree: float) -> tuple[int, float] | None:
+def judge(total: int, pos: np.ndarray, at: np.ndarray, mark: np.ndarray, mine: np.ndarray, theirs: np.ndarray, min_cover: float, min_agree: float) -> tuple[int, float] | None:
     """(windows found, agreement of slots) if the item is in the document.
 
-    ``pos`` and ``at`` are the places of the matches in item and document; ``slot``, ``mine`` and ``theirs`` (matches x window) their slots and values.
+    ``pos`` and ``at`` are the places of the matches in item and document; ``mark`` (the item's), ``mine`` and ``theirs`` (matches x window) their marks and values.
     """
     need = min_cover * total
     found = len(np.unique(pos))
     if found < need:
         return None
+    # a window may match in two forms
+    _, one = np.unique(np.stack([pos, at]), axis=1, return_index=True)
+    pos, at, mark, mine, theirs = (x[one] for x in (pos, at, mark, mine, theirs))
+    slot = np.where(mark == OPENING, mine != theirs, mark > 0)
     agree = _agreement(pos, at, slot, mine, theirs)
     if agree >= min_agree:
         return found, agree
@@ -234,7 +252,7 @@ def _scan(bench: Benchmark, min_cover: float, min_agree: float):
                     item = int(bench.item[to[a]])
                     pos, step = bench.pos[to[a:b]], np.arange(int(bench.size[item]))
                     mine, theirs = pos[:, None] + bench.start[item] + step, at[a:b, None] + step
-                    got = judge(int(bench.total[item]), pos, at[a:b], bench.kind[mine] > 0, bench.value[mine], tok.value[theirs], min_cover, min_agree)
+                    got = judge(int(bench.total[item]), pos, at[a:b], bench.mark[mine], bench.value[mine], tok.value[theirs], min_cover, min_agree)
                     if got:
                         rows.append((rid[lo + int(tok.row[at[a]])].as_py(), item, got[0], round(got[0] / int(bench.total[item]), 6), round(got[1], 6)))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
@@ -264,10 +282,10 @@ def _window_rows(pick):
                             pa.array(np.full(len(at), form, np.int32)),
                             pa.array(h.view(np.int64)),
                             pa.array((at - start[tok.row[at]]).astype(np.int32)),
-                            pa.ListArray.from_arrays(ends, pa.array(tok.kind[span].astype(np.int32))),
+                            pa.ListArray.from_arrays(ends, pa.array(tok.mark[span].astype(np.int32))),
                             pa.ListArray.from_arrays(ends, pa.array(tok.value[span].view(np.int64))),
                         ],
-                        ["key", "form", "hash", "pos", "kinds", "values"],
+                        ["key", "form", "hash", "pos", "marks", "values"],
                     )
 
     return run
@@ -275,21 +293,21 @@ def _window_rows(pick):
 
 def _joined(docs: DataFrame, bench_rows: DataFrame, window: int, min_item: int, min_cover: float, min_agree: float) -> DataFrame:
     """The shuffled way, for a benchmark too large to broadcast: windows of both sides meet on their hash."""
-    schema = "key bigint, form int, hash bigint, pos int, kinds array<int>, values array<bigint>"
+    schema = "key bigint, form int, hash bigint, pos int, marks array<int>, values array<bigint>"
     mine = materialise(bench_rows.mapInArrow(_window_rows(lambda tok, items: chosen(tok, items, window, min_item)), schema))
     # a few sizes and forms
     forms = [tuple(r) for r in mine.select(F.size("values"), "form").distinct().collect()]
     theirs = docs.mapInArrow(_window_rows(lambda tok, _: [(n, form, *tok.windows(n, form)) for n, form in forms]), schema).drop("form")
-    mine = mine.select(F.col("key").alias("item"), "hash", F.col("pos").alias("ipos"), F.col("kinds").alias("ikinds"), F.col("values").alias("ivalues"))
+    mine = mine.select(F.col("key").alias("item"), "hash", F.col("pos").alias("ipos"), F.col("marks").alias("imarks"), F.col("values").alias("ivalues"))
     total = mine.groupBy("item").agg(F.countDistinct("ipos").alias("total"))
     met = theirs.join(mine, "hash").withColumnRenamed("key", "rid")
     seen = met.groupBy("rid", "item").agg(F.countDistinct("ipos").alias("windows")).join(total, "item").where(F.col("windows") >= min_cover * F.col("total")).drop("windows")
 
     def decide(group: pa.Table) -> pa.Table:
         pos, at = (group.column(c).to_numpy().astype(np.int64) for c in ("ipos", "pos"))
-        kinds, own, theirs = (group.column(c).combine_chunks().flatten().to_numpy().reshape(len(pos), -1) for c in ("ikinds", "ivalues", "values"))
+        marks, own, theirs = (group.column(c).combine_chunks().flatten().to_numpy().reshape(len(pos), -1) for c in ("imarks", "ivalues", "values"))
         all_ = group.column("total")[0].as_py()
-        got = judge(all_, pos, at, kinds > 0, own, theirs, min_cover, min_agree)
+        got = judge(all_, pos, at, marks, own, theirs, min_cover, min_agree)
         rows = [(group.column("rid")[0].as_py(), group.column("item")[0].as_py(), got[0], round(got[0] / all_, 6), round(got[1], 6))] if got else []
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
         types = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64()]

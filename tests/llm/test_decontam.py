@@ -101,3 +101,15 @@ def test_items_of_many_numbers_are_found_in_both_ways(spark, make_docs):
     got = [sorted(map(tuple, decontam.leaks(docs, bench, limit=limit).collect())) for limit in (1 << 20, 0)]
     assert got[0] == got[1]
     assert [r[:2] for r in got[0]] == [(i, i) for i, _ in rows]
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0], ids=["broadcast", "shuffled"])
+def test_names_that_open_sentences(spark, make_docs, limit):
+    item = "Tom has 12 marbles and gives 5 of them to Ann. Ann then buys 7 more marbles at the market near her house."
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    swapped = item.replace("Tom", "Kim").replace("Ann", "Sue")
+    mixed = "Kim has 12 marbles and gives 12 of them to Sue. Eva then buys 12 more marbles at the market near her house."
+    docs = make_docs([(1, f"A start. {swapped} An end.", "en", "a"), (2, item, "en", "a"), (3, f"so {item}", "en", "a"), (4, mixed, "en", "a")])
+    got = {r.doc_id: r for r in decontam.leaks(docs, bench, limit=limit).collect()}
+    assert sorted(got) == [1, 2, 3]
+    assert got[1].cover == got[2].cover == 1 and got[1].agreement == 1

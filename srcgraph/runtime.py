@@ -20,8 +20,28 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Shuffle files of a query may go once its result is written.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back."""
-    path = f"{shared_dir(df.sparkSession)}/srcgraph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written to the shared folder and read back; the shuffle files that it took are removed."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/srcgraph-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def release(*settled: DataFrame) -> None:
+    """Delete what ``settle`` wrote; nothing that is still to run may read it."""
+    for df in settled:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df.settled_at)
+        path.getFileSystem(conf).delete(path, True)

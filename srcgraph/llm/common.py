@@ -15,9 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from srcgraph.runtime import release
 from srcgraph.runtime import settle as materialise
 
-__all__ = ["CHUNK_BYTES", "U64", "chunks", "fresh", "lowered", "materialise", "mix", "powers", "raw_text", "rolling", "table", "text_of", "words"]
+__all__ = ["CHUNK_BYTES", "U64", "chunks", "fresh", "lowered", "materialise", "mix", "powers", "raw_text", "release", "rolling", "table", "text_of", "words"]
 
 U64 = np.uint64
 CHUNK_BYTES = 1 << 20

@@ -2,23 +2,26 @@
 
 A byte is coded as a path through a fixed binary tree (short paths for common
 bytes), and each step of a path is predicted by several predictors that see
-different contexts: the last one, two and three bytes, and the word so far.
-Contexts are hashed to slots, ``SPARE`` times as many as the corpus has steps in
-distinct contexts; a slot holds how often the step went either way. A logistic mixer weighs the predictors: the weight set is gated
-by the depth in the tree, starts from weights learned in advance, and is refined
-online within each document, segment after segment, by gradient of coding cost.
-The total cost of all steps over the bytes is the score.
-
-The counts come from the whole corpus: a first pass estimates how many steps each
+different contexts. Four know the corpus: the last one, two and three bytes, and
+the word so far, hashed to rows of a table, hold how often each step went either
+way. A fifth knows the document alone: its log odds, by hashed context, start at
+nothing and follow the gradient of coding cost. A logistic mixer weighs the five:
+the weight set is gated by the depth in the tree, starts from weights learned in
+advance and is refined online by the same gradient. Weights and log odds move
+after each block of ``BLOCK`` bytes of a document. The total cost of all steps over
+the bytes is the score.
+
+The counts come from the whole corpus: a first pass estimates how many rows each
 predictor can meet, each task counts its documents, and a shuffle adds the counts
 up block by block. The tables grow with the corpus, so they go neither through the
 driver nor into the memory of the tasks: each block is written to its place in a
-file in the shared folder, and scoring maps the files, page by page. So that no
+file in the shared folder, and scoring maps the files, page by page. A row holds
+three levels of the tree, so a byte costs about two reads a predictor. So that no
 document predicts itself, the corpus is halved by hash and each half is scored
 with the counts of the other.
 
-The starting weights of a half are the mean of what all its documents end with, in
-``ROUNDS`` passes over the corpus.
+The starting weights of a half are a Newton step of logistic regression over all
+steps of all its documents, in one pass whose sums depend on no order.
 
 Defined cases
 -------------
@@ -44,26 +47,42 @@ from pyspark.sql import functions as F
 from srcgraph.llm.common import _WORD, CHUNK_BYTES, U64, chunks, lowered, mix, powers, raw_text
 from srcgraph.runtime import shared_dir
 
-#: A table has 2^SLOT_BITS slots at least and is counted, added up and written in blocks of as many.
-SLOT_BITS = 18
-SLOTS = 1 << SLOT_BITS
+#: A row of a table holds the slots of LEVELS levels of the tree below a node.
+LEVELS = 3
+ROW_SLOTS = 1 << LEVELS
+#: A table has 2^ROW_BITS rows at least and is counted, added up and written in blocks of as many.
+ROW_BITS = 15
+ROWS = 1 << ROW_BITS
+SLOTS = ROWS * ROW_SLOTS
 #: Contexts and bytes are packed into 64 bits.
 MAX_BITS = 55
 PREDICTORS = 4
-#: Slots for each step in a distinct context, at least.
-SPARE = 8
-#: Log odds in files, rounded to 11 bits.
-STORED = np.float16
-#: Registers of the estimate of distinct steps (standard error 1.04 / sqrt(REGISTERS)).
+INPUTS = PREDICTORS + 1
+#: Rows for each (context, node) that needs one, at least.
+SPARE = 2
+#: Log odds up to BOUND in files, in 127 steps either way.
+STORED = np.int8
+BOUND = 8.0
+SCALE = np.float32(BOUND / 127)
+#: Registers of the estimate of distinct rows (standard error 1.04 / sqrt(REGISTERS)).
 REGISTERS = 1 << 12
+#: Of all contexts those whose hash begins with so many zeros are counted, for all of them.
+THIN = 4
 #: Distinct (context, byte) pairs that a task holds before it sends them on.
 HELD = 1 << 21
-#: Ends of the segments after which the weights of a document are refined; each further one is four times as long.
-FIRST_SEGMENT = 64
+#: Bytes of a document after which weights and the document's own log odds are refined.
+BLOCK = 64
 RATE = 0.6
+OWN_BITS = 12
+OWN_RATE = 0.35
 PRIOR = 0.4
-ROUNDS = 6
-SCORE_BYTES = 1 << 18
+#: Weights from which the starting weights are learned, and that of the document's own predictor.
+FIRST_WEIGHT, OWN_WEIGHT = 0.3, 1.0
+RIDGE = 1.0
+#: Documents of like length are scored side by side: so many, or of so many bytes.
+LANES = 1024
+LANE_BYTES = 1 << 22
+LEARN_BYTES = 1 << 15
 
 #: Rough shares of bytes in European text. They only shape the tree, not the predictions.
 _SHARES = dict(zip(" etaoinsrhldcumfpgwybvkqjxz", (180, 120, 90, 75, 72, 70, 70, 64, 62, 55, 40, 38, 28, 28, 24, 20, 19, 18, 18, 16, 14, 10, 8, 2, 2, 2, 2), strict=True))
@@ -108,12 +127,19 @@ DEPTH = len(NODE)
 #: The sign of a predictor that speaks against the step taken.
 _SIGN = (1 - 2 * BIT).astype(np.float32)
 _LONGER = LENGTH[None] > np.arange(1, DEPTH + 1)[:, None]
-_NODE_HASH = np.random.default_rng(8).integers(0, SLOTS, 256)[NODE]
+_rng = np.random.default_rng(8)
+#: Where the row of a node (by its depth / LEVELS) lies, seen from its context, and the slot of a step in its row.
+_ROW_HASH = _rng.integers(0, ROWS, 256)[NODE[::LEVELS]]
+_OWN_HASH = _rng.integers(0, 1 << OWN_BITS, 256)[NODE]
+_LOCAL = np.zeros((DEPTH, 256), np.int64)
+for _d in range(DEPTH):
+    for _k in range(_d % LEVELS):
+        _LOCAL[_d] = 2 * _LOCAL[_d] + 1 + BIT[_d - _d % LEVELS + _k]
 
 
 def contexts(buf: np.ndarray, offs: np.ndarray, bits: list[int] | None = None) -> list[np.ndarray]:
     """Context of each byte for each predictor, hashed to as many bits, blind to other documents."""
-    bits = bits or [SLOT_BITS] * PREDICTORS
+    bits = bits or [ROW_BITS] * PREDICTORS
     n = len(buf)
     start = np.repeat(offs[:-1], np.diff(offs))
     back = np.arange(n) - start
@@ -154,14 +180,14 @@ def pairs(c: np.ndarray, buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def steps(key: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Counts of the steps of ``pairs`` in one block (SLOTS * 2). A node moves a slot within its block only."""
-    slot, b = (key >> U64(8)).astype(np.int64) & (SLOTS - 1), (key & U64(255)).astype(np.int64)
+    """Counts of the steps of ``pairs`` in one block (SLOTS * 2). A node moves a row within its block only."""
+    row, b = (key >> U64(8)).astype(np.int64) & (ROWS - 1), (key & U64(255)).astype(np.int64)
     at, times = [], []
     for d in range(DEPTH):
-        at.append(((slot ^ _NODE_HASH[d][b]) << 1) | BIT[d][b])
+        at.append((((row ^ _ROW_HASH[d // LEVELS][b]) * ROW_SLOTS + _LOCAL[d][b]) << 1) | BIT[d][b])
         times.append(n)
         keep = LENGTH[b] > d + 1
-        slot, b, n = slot[keep], b[keep], n[keep]
+        row, b, n = row[keep], b[keep], n[keep]
     # sums of whole numbers, exact in doubles
     return np.bincount(np.concatenate(at), weights=np.concatenate(times), minlength=2 * SLOTS).astype(np.int64)
 
@@ -173,67 +199,103 @@ def count(buf: np.ndarray, offs: np.ndarray, into: np.ndarray) -> None:
 
 
 def odds(counts: np.ndarray) -> np.ndarray:
-    """Log odds of each slot from its two counts."""
+    """Log odds of each slot from its two counts, as they are stored."""
     n = counts.reshape(-1, 2)
-    return np.log((n[:, 1] + PRIOR) / (n[:, 0] + PRIOR)).clip(-9, 9).astype(np.float32)
+    return np.round(np.log((n[:, 1] + PRIOR) / (n[:, 0] + PRIOR)).clip(-BOUND, BOUND) / SCALE).astype(STORED)
 
 
-def stretch(counts: np.ndarray) -> np.ndarray:
-    """Log odds (PREDICTORS x SLOTS) of tables of one block."""
-    return odds(counts).reshape(PREDICTORS, -1)
+def stretch(counts: np.ndarray) -> list[np.ndarray]:
+    """Log odds of tables of one block (PREDICTORS x SLOTS * 2), row by row."""
+    return [odds(c).view(np.int64) for c in counts.reshape(PREDICTORS, -1)]
 
 
-def cost(buf: np.ndarray, offs: np.ndarray, table: np.ndarray | list[np.ndarray], weights: np.ndarray, rate: float = RATE) -> tuple[np.ndarray, np.ndarray]:
-    """(bits of each text, weights of each text at its end); ``weights`` (DEPTH x PREDICTORS) are the start of each, ``table`` the log odds of each predictor."""
-    docs = len(offs) - 1
+class _Walk:
+    """The steps of some bytes, depth by depth: ``b`` (bytes that still go on), ``at`` (their places) and the log odds of each predictor."""
+
+    def __init__(self, table: list[np.ndarray], b: np.ndarray, ctx: list[np.ndarray]):
+        self.table, self.b, self.ctx, self.d = table, b, ctx, 0
+        self.at = np.arange(len(b))
+        self._open()
+
+    def _open(self) -> None:
+        h = _ROW_HASH[self.d // LEVELS].take(self.b)
+        self.rows = [t.take(c ^ h).view(STORED) for t, c in zip(self.table, self.ctx, strict=True)]
+        self.pos = np.arange(len(self.b)) * ROW_SLOTS
+
+    def inputs(self) -> list[np.ndarray]:
+        k = self.pos + _LOCAL[self.d].take(self.b)
+        return [r.take(k).astype(np.float32) for r in self.rows]
+
+    def next(self) -> bool:
+        keep = np.flatnonzero(_LONGER[self.d].take(self.b))
+        self.d += 1
+        if not len(keep):
+            return False
+        self.b, self.at, self.pos = self.b[keep], self.at[keep], self.pos[keep]
+        self.ctx = [c[keep] for c in self.ctx]
+        if self.d % LEVELS == 0:
+            self._open()
+        return True
+
+
+def cost(buf: np.ndarray, offs: np.ndarray, table: list[np.ndarray], weights: np.ndarray, rate: float = RATE, own_rate: float = OWN_RATE) -> np.ndarray:
+    """Bits of each text; ``weights`` (DEPTH x INPUTS) are the start of each, ``table`` the rows of each predictor."""
+    docs, size = len(offs) - 1, np.diff(offs)
     bits = np.zeros(docs)
-    w = np.repeat(weights[None].astype(np.float32), docs, axis=0)
     if not len(buf):
-        return bits, w
+        return bits
     ctx = contexts(buf, offs, [len(t).bit_length() - 1 for t in table])
-    size = np.diff(offs)
-    lo, hi = 0, FIRST_SEGMENT
-    while True:
-        on = np.flatnonzero(size > lo)
-        if not len(on):
-            return bits / np.log(2), w
-        n = np.minimum(size[on], hi) - lo
-        at = np.arange(int(n.sum())) + np.repeat(offs[on] + lo - (np.cumsum(n) - n), n)
-        of = np.repeat(np.arange(len(on), dtype=np.int32), n)
-        b, c = buf[at], [x[at] for x in ctx]
-        every = np.arange(len(on) + 1, dtype=np.int32)
-        for d in range(DEPTH):
-            first = np.searchsorted(of, every)
-            reps = np.diff(first)
-            some = np.flatnonzero(reps)
-            first, reps, who = first[some], reps[some], on[some]
-            h, sign = _NODE_HASH[d][b], _SIGN[d][b]
-            mine = w[who, d]
-            s = []
-            z = None
+    # the longest first, so that those that still go on are the first ones
+    order = np.argsort(-size, kind="stable")
+    begin, size = offs[order], size[order]
+    w = np.repeat(weights[None].astype(np.float32), docs, axis=0)
+    own = np.zeros(docs << OWN_BITS, np.float32)
+    for lo in range(0, int(size[0]), BLOCK):
+        n = np.minimum(size[: np.searchsorted(-size, -lo)] - lo, BLOCK)
+        lane = np.repeat(np.arange(len(n)), n)
+        at = np.repeat(begin[: len(n)] + lo - (np.cumsum(n) - n), n) + np.arange(len(lane))
+        walk = _Walk(table, buf[at], [c[at] for c in ctx])
+        mine, learned = walk.ctx[2] & ((1 << OWN_BITS) - 1), []
+        while True:
+            d, b = walk.d, walk.b
+            of = lane[walk.at]
+            first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+            who = of[first]
+            reps = np.diff(np.append(first, len(of)))
+            slot = (of << OWN_BITS) | (mine[walk.at] ^ _OWN_HASH[d].take(b))
+            s = [*walk.inputs(), own.take(slot)]
+            mix_ = w[who, d]
+            z = np.repeat(mix_[:, -1], reps) * s[-1]
             for i in range(PREDICTORS):
-                s.append(table[i][c[i] ^ h].astype(np.float32, copy=False))
-                part = np.repeat(mine[:, i], reps)
+                part = np.repeat(mix_[:, i] * SCALE, reps)
                 part *= s[i]
-                z = part if z is None else np.add(z, part, out=z)
+                z += part
             # with the sign of the step that wasn't taken, the cost is log(1 + e^z) and the error its slope
+            sign = _SIGN[d].take(b)
             z *= sign
             np.clip(z, -14, 14, out=z)
             e = np.exp(z, out=z)
             e1 = e + np.float32(1)
             err = np.divide(e, e1, out=e)
             err *= sign
-            bits[who] += np.add.reduceat(np.log(e1, out=e1), first)
+            bits[order[who]] += np.add.reduceat(np.log(e1, out=e1), first)
+            learned.append((slot, err))
             step = np.float32(rate) / (reps + 16).astype(np.float32)
-            for i in range(PREDICTORS):
-                s[i] *= err
-                mine[:, i] -= step * np.add.reduceat(s[i], first)
-            w[who, d] = mine
-            keep = np.flatnonzero(_LONGER[d][b])
-            if not len(keep):
+            grad = np.stack([np.add.reduceat(x * err, first) for x in s], axis=1)
+            grad[:, :PREDICTORS] *= SCALE
+            w[who, d] = mix_ - step[:, None] * grad
+            if not walk.next():
                 break
-            b, of, c = b[keep], of[keep], [x[keep] for x in c]
-        lo, hi = hi, hi * 4
+        for slot, err in learned:
+            np.subtract.at(own, slot, np.float32(own_rate) * err)
+    return bits / np.log(2)
+
+
+def _side_by_side(offs: np.ndarray, rows: np.ndarray) -> Iterator[np.ndarray]:
+    """``rows`` in groups of like length."""
+    size = offs[rows + 1] - offs[rows]
+    rows = rows[np.argsort(size, kind="stable")]
+    yield from (rows[lo:hi] for lo, hi in chunks(np.append(0, np.cumsum(np.sort(size))), LANE_BYTES, LANES))
 
 
 def _take(buf: np.ndarray, offs: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -255,34 +317,39 @@ def _halves(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int
 
 
 def _register_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each half and predictor the registers of a HyperLogLog of (context, node)."""
+    """For each half and predictor the registers of a HyperLogLog of (context, node that has a row)."""
     top = np.zeros((2, PREDICTORS, REGISTERS), np.uint8)
     for k, buf, offs in _halves(batches, CHUNK_BYTES):
         for i, c in enumerate(contexts(buf, offs, [MAX_BITS] * PREDICTORS)):
-            key = pairs(c, buf)[0]
-            c, b = key >> U64(8), (key & U64(255)).astype(np.int64)
-            for d in range(DEPTH):
-                h = mix((c << U64(8)) | NODE[d][b].astype(U64))
+            at = np.flatnonzero(c < 1 << (MAX_BITS - THIN))
+            key, b = c[at].astype(U64) << U64(8), buf[at]
+            for d in range(0, DEPTH, LEVELS):
+                h = mix(key | NODE[d].take(b).astype(U64))
                 # the place of the first one among the bits that name no register, from below
                 low = h >> U64(12)
                 rank = np.bitwise_count((low & (~low + U64(1))) - U64(1)).astype(np.uint8) + np.uint8(1)
                 np.maximum.at(top[k, i], (h & U64(REGISTERS - 1)).astype(np.int64), rank)
-                keep = LENGTH[b] > d + 1
-                c, b = c[keep], b[keep]
+                keep = np.flatnonzero((LENGTH > d + LEVELS).take(b))
+                if not len(keep):
+                    break
+                key, b = key[keep], b[keep]
     yield pa.RecordBatch.from_arrays([pa.array([top.tobytes()], pa.binary())], ["registers"])
 
 
 def table_bits(halved: DataFrame) -> list[int]:
-    """Bits of the slots of each predictor, by the steps in distinct contexts of the larger half."""
+    """Bits of the rows of each predictor, by the distinct rows that the larger half needs."""
     top = np.zeros((2, PREDICTORS, REGISTERS), np.uint8)
     for r in halved.mapInArrow(_register_batches, "registers binary").collect():
         np.maximum(top, np.frombuffer(bytes(r.registers), np.uint8).reshape(top.shape), out=top)
     n = 0.7213 / (1 + 1.079 / REGISTERS) * REGISTERS**2 / np.exp2(-top.astype(float)).sum(axis=-1)
-    return [min(MAX_BITS, max(SLOT_BITS, int(np.ceil(np.log2(SPARE * x))))) for x in n.max(axis=0)]
+    # few are counted by the registers that none has met
+    empty = (top == 0).sum(axis=-1)
+    n = 2**THIN * np.where((n < 2.5 * REGISTERS) & (empty > 0), REGISTERS * np.log(REGISTERS / np.maximum(empty, 1)), n)
+    return [min(MAX_BITS, max(ROW_BITS, int(np.ceil(np.log2(max(SPARE * x, 1)))))) for x in n.max(axis=0)]
 
 
 def _count_batches(bits: list[int]):
-    starts = np.cumsum([0, *[1 << (b - SLOT_BITS) for b in bits]])
+    starts = np.cumsum([0, *[1 << (b - ROW_BITS) for b in bits]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -290,10 +357,10 @@ def _count_batches(bits: list[int]):
         def flush() -> Iterator[pa.RecordBatch]:
             for (k, i), parts in held.items():
                 key, n = _distinct(*map(np.concatenate, zip(*parts, strict=True)))
-                block = (key >> U64(8 + SLOT_BITS)).astype(np.int64)
+                block = (key >> U64(8 + ROW_BITS)).astype(np.int64)
                 cut = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
                 ends = np.append(cut[1:], len(key))
-                low = (key & U64((1 << (8 + SLOT_BITS)) - 1)).astype(np.uint32)
+                low = (key & U64((1 << (8 + ROW_BITS)) - 1)).astype(np.uint32)
                 at = k * starts[-1] + starts[i] + block[cut]
                 for lo in range(0, len(cut), 64):
                     hi = min(lo + 64, len(cut))
@@ -320,22 +387,35 @@ def _write_batches(path: str):
         file = os.open(path, os.O_WRONLY)
 
         def write(block: int, total: np.ndarray) -> None:
-            data = memoryview(odds(total).astype(STORED).view(np.uint8))
+            data = memoryview(odds(total).view(np.uint8))
             at = block * SLOTS * STORED().itemsize
             while data:
                 done = os.pwrite(file, data, at)
                 data, at = data[done:], at + done
 
         try:
-            now, total, blocks = -1, None, 0
+            now, total, blocks, held, size = -1, np.zeros(2 * SLOTS, np.int64), 0, [], 0
+
+            def add() -> None:
+                nonlocal held, size
+                if held:
+                    np.add(total, steps(*map(np.concatenate, zip(*held, strict=True))), out=total)
+                held, size = [], 0
+
             for batch in batches:
                 for block, key, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
                     if block != now:
-                        if total is not None:
+                        if now >= 0:
+                            add()
                             write(now, total)
-                        now, total, blocks = block, np.zeros(2 * SLOTS, np.int64), blocks + 1
-                    total += steps(np.frombuffer(key.as_buffer(), np.uint32).astype(U64), np.frombuffer(n.as_buffer(), np.int64))
-            if total is not None:
+                        now, blocks = block, blocks + 1
+                        total[:] = 0
+                    held.append((np.frombuffer(key.as_buffer(), np.uint32).astype(U64), np.frombuffer(n.as_buffer(), np.int64)))
+                    size += len(held[-1][0])
+                    if size > HELD // 4:
+                        add()
+            if now >= 0:
+                add()
                 write(now, total)
             os.fsync(file)
         finally:
@@ -346,8 +426,8 @@ def _write_batches(path: str):
 
 
 def _tables(path: str, bits: list[int]) -> list[list[np.ndarray]]:
-    """Log odds by half and predictor, mapped from the file."""
-    whole, at, out = np.memmap(path, STORED, "r"), 0, []
+    """Rows of log odds by half and predictor, mapped from the file."""
+    whole, at, out = np.memmap(path, np.int64, "r"), 0, []
     for _ in (0, 1):
         out.append([])
         for b in bits:
@@ -366,32 +446,45 @@ def gather(halved: DataFrame) -> tuple[str, list[int]]:
     os.makedirs(folder, exist_ok=True)
     path = f"{folder}/srcgraph-{uuid.uuid4().hex}.odds"
     with open(path, "wb") as f:
-        # what no block is written to stays a hole and reads as 0, the log odds of an unseen slot
-        f.truncate(2 * STORED().itemsize * sum(1 << b for b in bits))
+        # what no block is written to stays a hole and reads as 0, the log odds of an unseen step
+        f.truncate(2 * ROW_SLOTS * STORED().itemsize * sum(1 << b for b in bits))
     each = halved.mapInArrow(_count_batches(bits), "block bigint, pairs binary, times binary")
     each.repartition("block").sortWithinPartitions("block").mapInArrow(_write_batches(path), "blocks bigint").agg(F.sum("blocks")).collect()
     return path, bits
 
 
-def learn_weights(halved: DataFrame, path: str, bits: list[int], rounds: int = ROUNDS) -> np.ndarray:
-    """Starting weights of each half: the mean of what all its documents end with, repeatedly."""
-    w = np.full((2, DEPTH, PREDICTORS), 0.3, np.float32)
-    for _ in range(rounds):
+def slopes(buf: np.ndarray, offs: np.ndarray, table: list[np.ndarray], gradient: np.ndarray, curvature: np.ndarray) -> None:
+    """Add up the first and second derivatives of the coding cost of these texts by the weights of the corpus predictors, at FIRST_WEIGHT."""
+    ctx = contexts(buf, offs, [len(t).bit_length() - 1 for t in table])
+    for lo in range(0, len(buf), LEARN_BYTES):
+        i = slice(lo, lo + LEARN_BYTES)
+        walk = _Walk(table, buf[i], [c[i] for c in ctx])
+        while True:
+            s = np.stack(walk.inputs())
+            s *= SCALE
+            p = 1 / (1 + np.exp(-FIRST_WEIGHT * s.sum(axis=0)))
+            gradient[walk.d] += s @ (p - BIT[walk.d].take(walk.b))
+            curvature[walk.d] += (s * (p * (1 - p))) @ s.T
+            if not walk.next():
+                break
+
+
+def learn_weights(halved: DataFrame, path: str, bits: list[int]) -> np.ndarray:
+    """Starting weights of each half (2 x DEPTH x INPUTS), by one Newton step over all its documents."""
 
-        def run(batches: Iterator[pa.RecordBatch], start: np.ndarray = w) -> Iterator[pa.RecordBatch]:
-            tables = _tables(path, bits)
-            total, n = np.zeros(start.shape), np.zeros(2, np.int64)
-            for k, buf, offs in _halves(batches, SCORE_BYTES):
-                total[k] += cost(buf, offs, tables[1 - k], start[k])[1].sum(axis=0, dtype=float)
-                n[k] += len(offs) - 1
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], ["total", "n"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = _tables(path, bits)
+        g, h = np.zeros((2, DEPTH, PREDICTORS)), np.zeros((2, DEPTH, PREDICTORS, PREDICTORS))
+        for k, buf, offs in _halves(batches, CHUNK_BYTES):
+            slopes(buf, offs, tables[1 - k], g[k], h[k])
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (g, h)], ["g", "h"])
 
-        total, n = np.zeros(w.shape), np.zeros(2, np.int64)
-        for r in halved.mapInArrow(run, "total binary, n binary").collect():
-            total += np.frombuffer(bytes(r.total)).reshape(w.shape)
-            n += np.frombuffer(bytes(r.n), np.int64)
-        w = np.where(n[:, None, None] > 0, total / np.maximum(n, 1)[:, None, None], w).astype(np.float32)
-    return w
+    g, h = np.zeros((2, DEPTH, PREDICTORS)), np.zeros((2, DEPTH, PREDICTORS, PREDICTORS))
+    for r in halved.mapInArrow(run, "g binary, h binary").collect():
+        g += np.frombuffer(bytes(r.g)).reshape(g.shape)
+        h += np.frombuffer(bytes(r.h)).reshape(h.shape)
+    w = FIRST_WEIGHT - np.linalg.solve(h + RIDGE * np.eye(PREDICTORS), g[..., None])[..., 0]
+    return np.concatenate([w, np.full((2, DEPTH, 1), OWN_WEIGHT)], axis=-1).astype(np.float32)
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -414,14 +507,9 @@ def score(docs: DataFrame) -> DataFrame:
             half = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             spent = np.zeros(batch.num_rows)
             for k in (0, 1):
-                mine = np.flatnonzero(half == k)
-                if not len(mine):
-                    continue
-                size = np.append(0, np.cumsum(offs[mine + 1] - offs[mine]))
-                for lo, hi in chunks(size, SCORE_BYTES):
-                    rows = mine[lo:hi]
+                for rows in _side_by_side(offs, np.flatnonzero(half == k)):
                     # each half is scored with the counts of the other
-                    spent[rows] = cost(*_take(buf, offs, rows), tables[1 - k], weights[k])[0]
+                    spent[rows] = cost(*_take(buf, offs, rows), tables[1 - k], weights[k])
             n = np.diff(offs)
             each = np.divide(spent, n, out=np.zeros(len(n)), where=n > 0)
             yield pa.RecordBatch.from_arrays(

@@ -5,17 +5,19 @@ are compared with those of its language by Jensen-Shannon distance (the square
 root of the divergence, base 2). The references come from all documents of the
 language: for words their summed histogram, for character classes the median
 share of each class, which a minority of junk can't shift. Shares are counted
-in ten-thousandths, so an exact median needs at most 10,001 counters. All of it
-is narrow built-in expressions; only small rows a language are shuffled.
+in ten-thousandths, so an exact median needs at most 10,001 counters. Each text is
+read once, in one Arrow kernel that counts all classes and words; everything else
+is built-in expressions over the counters, and only small rows a language are shuffled.
 
 Divergence of a small sample is biased upwards by about
-``(bins - 1) / (8 n ln 2)``, which is taken off before the root, and documents
-below the minimum lengths aren't judged at all.
+``(bins - 1) / (8 n ln 2)``, which is taken off before the root, and each distance
+has its minimum length: characters are judged from ``min_chars`` characters on, words
+from ``min_words`` words on.
 
 Defined cases
 -------------
 * Null, empty and blank texts hold no word: reason ``empty``, rejected.
-* Fewer than ``min_chars`` characters or ``min_words`` words: reason ``short``, kept.
+* Fewer than ``min_chars`` characters and ``min_words`` words: neither distance speaks; reason ``short``, kept.
 * A null language is the language ``''``. A language without a word list is
   judged by character classes alone (its word distance is null).
 * Repeated rows are judged alike, each on its own. An empty table gives an empty result.
@@ -25,11 +27,14 @@ Defined cases
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from srcgraph.llm.common import fresh, materialise, text_of
+from srcgraph.llm.common import U64, chunks, fresh, materialise, raw_text, text_of, words
 
 #: The commonest function words of each language.
 COMMON_WORDS = {
@@ -50,32 +55,66 @@ BROADCAST_LANGUAGES = 10_000
 _SHARES = 10_000
 
 
-def _word_lists() -> Column:
-    return F.create_map(*[x for k, v in COMMON_WORDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+def _classes() -> np.ndarray:
+    """Class of each byte: as in CLASSES, one more for other characters, and one for bytes that go on a character."""
+    out = np.full(256, len(CLASSES), np.uint8)
+    for k, some in enumerate((range(97, 123), range(65, 91), range(48, 58), b" \t\r\n", b".,;:?'\"()-", range(192, 256))):
+        out[[*some]] = k
+    out[128:192] = len(CLASSES) + 1
+    return out
+
+
+_CLASS = _classes()
+_LANGS = {k: i for i, k in enumerate(COMMON_WORDS)}
+_WIDTH = np.array([*map(len, COMMON_WORDS.values()), 0])
+_WORD_HASH = np.zeros((len(_LANGS) + 1, max(_WIDTH) + 1), U64)
+#: Place of a word in the list of its language, by the leading bits of its hash; the last place holds no word.
+_PLACE = np.full((len(_LANGS) + 1, 1 << 16), max(_WIDTH), np.int16)
+for _i, _list in enumerate(COMMON_WORDS.values()):
+    _WORD_HASH[_i, : len(_list)] = words(*raw_text(pa.array(_list)), lower=False)[3]
+    _PLACE[_i, (_WORD_HASH[_i, : len(_list)] >> U64(48)).astype(np.int64)] = np.arange(len(_list))
+    assert len(set(_PLACE[_i].tolist())) == len(_list) + 1, "two common words share their leading bits"
+
+_COUNTS = "struct<n_chars: bigint, n_words: bigint, chars: array<bigint>, words: array<bigint>>"
+
+
+def _counts(columns: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Counters of (text, its words in lower case between blanks, language)."""
+    for raw, spaced, lang in columns:
+        n = len(raw)
+        chars, width = np.zeros((n, len(CLASSES) + 1), np.int64), max(_WIDTH) + 1
+        buf, offs = raw_text(raw)
+        for lo, hi in chunks(offs):
+            kind = _CLASS[buf[offs[lo] : offs[hi]]]
+            at = offs[lo : hi + 1] - offs[lo]
+            for k in range(len(CLASSES) + 1):
+                chars[lo:hi, k] = np.diff(np.append(0, np.cumsum(kind == k, dtype=np.int64))[at])
+        of = np.array([_LANGS.get(x, len(_LANGS)) for x in lang.to_pylist()], np.int64)
+        seen = np.zeros((n, width), np.int64)
+        buf, offs = raw_text(spaced)
+        for lo, hi in chunks(offs):
+            _, _, row, h = words(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], lower=False)
+            which = of[lo + row]
+            place = _PLACE[which, (h >> U64(48)).astype(np.int64)].astype(np.int64)
+            place[_WORD_HASH[which, place] != h] = width - 1
+            seen[lo:hi] = np.bincount(row * width + place, minlength=(hi - lo) * width).reshape(hi - lo, width)
+        total = seen.sum(axis=1)
+        # the others come last, right behind the list of the language
+        size = _WIDTH[of] + 1
+        seen[np.arange(n), size - 1] = seen[:, width - 1]
+        flat = seen[np.arange(width) < size[:, None]]
+        lists = [pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(k)).astype(np.int32)), pa.array(x)) for k, x in ((np.full(n, chars.shape[1]), chars.ravel()), (size, flat))]
+        yield pa.StructArray.from_arrays([pa.array(chars.sum(axis=1)), pa.array(total), *lists], ["n_chars", "n_words", "chars", "words"])
 
 
 def histograms(docs: DataFrame) -> DataFrame:
     """``docs`` plus _lang, _chars (counts by class), _words (counts by common word, others last), _n_chars, _n_words."""
     raw = text_of(docs)
     lang = F.coalesce(docs["lang"].cast("string"), F.lit(""))
-    spaced = F.concat(F.lit("  "), F.regexp_replace(F.lower(raw), "[^\\p{L}]+", "  "), F.lit("  "))
-    out = docs.withColumns({"_lang": lang, "_text": raw}).withColumns(
-        {"_spaced": spaced, "_list": F.coalesce(F.element_at(_word_lists(), F.col("_lang")), F.array().cast("array<string>"))}
-    )
-    n = F.length("_text")
-    counts = [F.length("_text") - F.length(F.regexp_replace("_text", p, "")) for p in CLASSES]
-    out = out.withColumn("_n_chars", n.cast("bigint")).withColumn("_part", F.array(*[c.cast("bigint") for c in counts]))
-    out = out.withColumn("_chars", F.concat("_part", F.array(F.col("_n_chars") - F.aggregate("_part", F.lit(0).cast("bigint"), lambda a, x: a + x))))
-
-    def times(w: Column) -> Column:
-        # words are fenced by two blanks, so neighbours never share a fence
-        fenced = F.concat(F.lit(" "), w, F.lit(" "))
-        return ((F.octet_length("_spaced") - F.octet_length(F.replace(F.col("_spaced"), fenced, F.lit("")))) / F.octet_length(fenced)).cast("bigint")
-
-    out = out.withColumn("_n_words", ((F.octet_length("_spaced") - F.octet_length(F.regexp_replace("_spaced", " (?=[^ ])", ""))).cast("bigint")))
-    out = out.withColumn("_seen", F.transform("_list", times))
-    total = F.aggregate("_seen", F.lit(0).cast("bigint"), lambda a, x: a + x)
-    return out.withColumn("_words", F.concat("_seen", F.array(F.col("_n_words") - total))).drop("_text", "_spaced", "_list", "_part", "_seen")
+    spaced = F.regexp_replace(F.lower(raw), "[^\\p{L}]+", " ")
+    run = F.arrow_udf(_counts, _COUNTS, functionType=F.ArrowUDFType.SCALAR_ITER)
+    out = docs.withColumns({"_lang": lang, "_counts": run(raw, spaced, lang)})
+    return out.withColumns({f"_{k}": F.col(f"_counts.{k}") for k in ("n_chars", "n_words", "chars", "words")}).drop("_counts")
 
 
 def references(hist: DataFrame) -> DataFrame:
@@ -124,9 +163,9 @@ def judged(hist: DataFrame, ref: DataFrame, min_chars: int = MIN_CHARS, min_word
     )
     reason = (
         F.when(F.col("_n_words") == 0, "empty")
-        .when((F.col("_n_chars") < min_chars) | (F.col("_n_words") < min_words), "short")
-        .when(F.col("_char_distance") > max_char, "characters")
-        .when(F.col("_word_distance") > max_word, "words")
+        .when((F.col("_n_chars") >= min_chars) & (F.col("_char_distance") > max_char), "characters")
+        .when((F.col("_n_words") >= min_words) & (F.col("_word_distance") > max_word), "words")
+        .when((F.col("_n_chars") < min_chars) & (F.col("_n_words") < min_words), "short")
     )
     return out.withColumn("_reason", reason).withColumn("_keep", F.coalesce(F.col("_reason") == "short", F.lit(True))).drop("_chars", "_words", "_ref_chars", "_ref_words")
 
@@ -143,8 +182,9 @@ def keep_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, all columns as they were."""
     whole = fresh(docs, "whole")
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(whole), docs["text"].alias("text"), docs["lang"].alias("lang"))
-    # two narrow passes over the texts rather than a shuffle of them
-    return judged(histograms(packed), references(histograms(docs.select("text", "lang")))).where("_keep").select(f"{whole}.*")
+    # rows are written once with their counters, which costs less than reading each text twice or a shuffle of them
+    hist = materialise(histograms(packed).drop("text", "lang"))
+    return judged(hist, references(hist)).where("_keep").select(f"{whole}.*")
 
 
 def _sql_list(words: list[str]) -> str:
@@ -175,7 +215,7 @@ WITH d AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS text
 ), r AS (SELECT lang, [{', '.join(f'quantile_cont(CASE WHEN n_chars > 0 THEN floor(chars[{i}] * {_SHARES} / n_chars) END, 0.5)' for i in range(1, k + 1))}] AS rc,
   list_filter([{', '.join(f'sum(words[{i}])' for i in range(1, width + 1))}], lambda x: x IS NOT NULL) AS rw FROM e GROUP BY lang
 ), x AS (SELECT e.doc_id, e.lang, n_chars, n_words, {_sql_distance('chars', 'rc')} AS char_distance, {_sql_distance('words', 'rw')} AS word_distance FROM e JOIN r ON e.lang = r.lang
-), y AS (SELECT *, CASE WHEN n_words = 0 THEN 'empty' WHEN n_chars < {MIN_CHARS} OR n_words < {MIN_WORDS} THEN 'short'
-  WHEN char_distance > {MAX_CHAR_DISTANCE} THEN 'characters' WHEN word_distance > {MAX_WORD_DISTANCE} THEN 'words' END AS reason FROM x)
+), y AS (SELECT *, CASE WHEN n_words = 0 THEN 'empty' WHEN n_chars >= {MIN_CHARS} AND char_distance > {MAX_CHAR_DISTANCE} THEN 'characters'
+  WHEN n_words >= {MIN_WORDS} AND word_distance > {MAX_WORD_DISTANCE} THEN 'words' WHEN n_chars < {MIN_CHARS} AND n_words < {MIN_WORDS} THEN 'short' END AS reason FROM x)
 SELECT *, coalesce(reason = 'short', true) AS keep FROM y
 """

@@ -25,7 +25,7 @@ def op3_url_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents"))
+    return mixing.mix(table(spark, sf_dir, "documents"), mixing.WEIGHTS, default_weight=mixing.DEFAULT_WEIGHT)
 
 
 def op5_bwt_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,4 +57,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_divergence": divergence.oracle_sql(), "op4_mixing": mixing.MIX_SQL.format(docs="documents")}
+    return {"op2_divergence": divergence.oracle_sql(), "op4_mixing": mixing.oracle_sql(weights=mixing.WEIGHTS, default_weight=mixing.DEFAULT_WEIGHT)}

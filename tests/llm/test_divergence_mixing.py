@@ -53,13 +53,24 @@ def test_divergence_cases(make_docs):
 
 def test_mixing_cases(make_docs):
     docs = make_docs([(*r, 1, 2) for r in CASES], ", level int, _hash int")
-    sql = mixing.MIX_SQL.format(docs="documents")
+    sql = mixing.oracle_sql()
     got = mixing.mix(docs)
     assert _norm(got.select("doc_id", "source", "tokens", "level").collect()) == _norm(_duck(CASES, f"SELECT doc_id, source, tokens, level FROM ({sql})"))
     out = mixing.apply_mix(docs, mixing.thresholds(docs), "mix_level")
     assert out.columns == [*docs.columns, "mix_level"] and out.count() == got.count()
     none = docs.where(F.lit(False))
-    assert mixing.mix(none).count() == 0
+    assert mixing.mix(none).count() == 0 and mixing.mix(none, {"a": 1.0}).count() == 0
+    for weights, rest in (({"a": 3.0, "b": 0.5}, 1.0), ({"a": 1.0}, 0.0), ({"zzz": 1.0}, 0.0)):
+        sql = mixing.oracle_sql(weights=weights, default_weight=rest)
+        got = mixing.mix(docs, weights, default_weight=rest)
+        assert _norm(got.select("doc_id", "source", "tokens", "level").collect()) == _norm(_duck(CASES, f"SELECT doc_id, source, tokens, level FROM ({sql})"))
+
+
+def test_mixing_many_sources_and_shuffled_boundaries(make_docs, monkeypatch):
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    rows = [(i, "w " * (1 + i * 5 % 17), "en", f"d{i % 60}") for i in range(900)]
+    got = mixing.mix(make_docs(rows))
+    assert _norm(got.collect()) == _norm(_duck(rows, f"SELECT doc_id, source, tokens, level FROM ({mixing.oracle_sql()})"))
 
 
 @pytest.mark.parametrize("total", [None, 3000])

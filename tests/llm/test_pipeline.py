@@ -62,7 +62,7 @@ def _brute(docs, items):
     docs["text"] = [pii.redacted(t, pii.entities(t, model)) for t in docs.text]
     docs["n_chars"] = docs.text.str.len()
     db.register("left_over", docs)
-    level = dict(db.sql(f"SELECT doc_id, level FROM ({mixing.MIX_SQL.format(docs='left_over')})").fetchall())
+    level = dict(db.sql(f"SELECT doc_id, level FROM ({mixing.oracle_sql('left_over')})").fetchall())
     docs = docs[docs.doc_id.isin(level)]
     return sorted((int(r.doc_id), r.text, r.lang, r.source, int(r.n_chars), level[r.doc_id]) for r in docs.itertuples())
 

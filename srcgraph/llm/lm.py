@@ -6,8 +6,8 @@ different contexts. Four know the corpus: the last one, two and three bytes, and
 the word so far, hashed to rows of a table, hold how often each step went either
 way. A fifth knows the document alone: its log odds, by hashed context, start at
 nothing and follow the gradient of coding cost. A logistic mixer weighs the five:
-the weight set is gated by the depth in the tree, starts from weights learned in
-advance and is refined online by the same gradient. Weights and log odds move
+the weight set is gated by the depth in the tree, starts from ``START`` in each
+document and is refined online by the same gradient. Weights and log odds move
 after each block of ``BLOCK`` bytes of a document. The total cost of all steps over
 the bytes is the score.
 
@@ -20,9 +20,6 @@ three levels of the tree, so a byte costs about two reads a predictor. So that n
 document predicts itself, the corpus is halved by hash and each half is scored
 with the counts of the other.
 
-The starting weights of a half are a Newton step of logistic regression over all
-steps of all its documents, in one pass whose sums depend on no order.
-
 Defined cases
 -------------
 * Null and empty texts have 0 bytes, 0 bits and a null bits_per_byte.
@@ -76,13 +73,11 @@ RATE = 0.6
 OWN_BITS = 12
 OWN_RATE = 0.35
 PRIOR = 0.4
-#: Weights from which the starting weights are learned, and that of the document's own predictor.
-FIRST_WEIGHT, OWN_WEIGHT = 0.3, 1.0
-RIDGE = 1.0
+#: Weights of the inputs at the start of each document.
+START = np.array([0.0, 0.15, 0.5, 0.4, 1.0])
 #: Documents of like length are scored side by side: so many, or of so many bytes.
-LANES = 1024
+LANES = 128
 LANE_BYTES = 1 << 22
-LEARN_BYTES = 1 << 15
 
 #: Rough shares of bytes in European text. They only shape the tree, not the predictions.
 _SHARES = dict(zip(" etaoinsrhldcumfpgwybvkqjxz", (180, 120, 90, 75, 72, 70, 70, 64, 62, 55, 40, 38, 28, 28, 24, 20, 19, 18, 18, 16, 14, 10, 8, 2, 2, 2, 2), strict=True))
@@ -126,7 +121,6 @@ LENGTH, NODE, BIT = _tree()
 DEPTH = len(NODE)
 #: The sign of a predictor that speaks against the step taken.
 _SIGN = (1 - 2 * BIT).astype(np.float32)
-_LONGER = LENGTH[None] > np.arange(1, DEPTH + 1)[:, None]
 _rng = np.random.default_rng(8)
 #: Where the row of a node (by its depth / LEVELS) lies, seen from its context, and the slot of a step in its row.
 _ROW_HASH = _rng.integers(0, ROWS, 256)[NODE[::LEVELS]]
@@ -135,6 +129,12 @@ _LOCAL = np.zeros((DEPTH, 256), np.int64)
 for _d in range(DEPTH):
     for _k in range(_d % LEVELS):
         _LOCAL[_d] = 2 * _LOCAL[_d] + 1 + BIT[_d - _d % LEVELS + _k]
+_ROWS_OF = -(-LENGTH // LEVELS)
+#: The same by depth and byte in one number; slots as seen from the first row of the byte.
+_ROW_HASH_AT, _OWN_HASH_AT, _SIGN_AT = _ROW_HASH.ravel(), _OWN_HASH.ravel(), _SIGN.ravel()
+_SLOT_AT = (_LOCAL + np.arange(DEPTH)[:, None] // LEVELS * ROW_SLOTS).ravel()
+#: What a unit of each input is worth.
+_UNIT = np.array([SCALE] * PREDICTORS + [1.0])
 
 
 def contexts(buf: np.ndarray, offs: np.ndarray, bits: list[int] | None = None) -> list[np.ndarray]:
@@ -142,15 +142,22 @@ def contexts(buf: np.ndarray, offs: np.ndarray, bits: list[int] | None = None) -
     bits = bits or [ROW_BITS] * PREDICTORS
     n = len(buf)
     start = np.repeat(offs[:-1], np.diff(offs))
-    back = np.arange(n) - start
-    c = np.zeros(n, U64)
+    heads = offs[:-1][np.diff(offs) > 0]
+    c, wide = np.zeros(n, U64), buf.astype(U64)
     out = []
     for k in range(3):
-        c[k + 1 :] |= np.where(back[k + 1 :] > k, buf[: n - k - 1], 0).astype(U64) << U64(8 * k)
-        out.append((((c + U64(1 + k)) * U64(0x9E3779B97F4A7C15)) >> U64(64 - bits[k])).astype(np.int64))
+        step = np.zeros(n, U64)
+        step[k + 1 :] = wide[: n - k - 1] << U64(8 * k)
+        for j in range(k + 1):
+            # what lies before the text; in a shorter one this falls on the same place of the next
+            step[heads[heads < n - j] + j] = 0
+        c |= step
+        np.add(c, U64(1 + k), out=step)
+        step *= U64(0x9E3779B97F4A7C15)
+        step >>= U64(64 - bits[k])
+        out.append(step.view(np.int64))
     # the word so far: from behind the last other byte
-    inside = _WORD[buf]
-    border = np.where(inside, -1, np.arange(n)) + 1
+    border = np.where(_WORD[buf], -1, np.arange(n)) + 1
     border = np.maximum(np.maximum.accumulate(border), start)
     # a byte's own kind isn't known before it is coded
     first = np.empty(n, np.int64)
@@ -209,37 +216,8 @@ def stretch(counts: np.ndarray) -> list[np.ndarray]:
     return [odds(c).view(np.int64) for c in counts.reshape(PREDICTORS, -1)]
 
 
-class _Walk:
-    """The steps of some bytes, depth by depth: ``b`` (bytes that still go on), ``at`` (their places) and the log odds of each predictor."""
-
-    def __init__(self, table: list[np.ndarray], b: np.ndarray, ctx: list[np.ndarray]):
-        self.table, self.b, self.ctx, self.d = table, b, ctx, 0
-        self.at = np.arange(len(b))
-        self._open()
-
-    def _open(self) -> None:
-        h = _ROW_HASH[self.d // LEVELS].take(self.b)
-        self.rows = [t.take(c ^ h).view(STORED) for t, c in zip(self.table, self.ctx, strict=True)]
-        self.pos = np.arange(len(self.b)) * ROW_SLOTS
-
-    def inputs(self) -> list[np.ndarray]:
-        k = self.pos + _LOCAL[self.d].take(self.b)
-        return [r.take(k).astype(np.float32) for r in self.rows]
-
-    def next(self) -> bool:
-        keep = np.flatnonzero(_LONGER[self.d].take(self.b))
-        self.d += 1
-        if not len(keep):
-            return False
-        self.b, self.at, self.pos = self.b[keep], self.at[keep], self.pos[keep]
-        self.ctx = [c[keep] for c in self.ctx]
-        if self.d % LEVELS == 0:
-            self._open()
-        return True
-
-
-def cost(buf: np.ndarray, offs: np.ndarray, table: list[np.ndarray], weights: np.ndarray, rate: float = RATE, own_rate: float = OWN_RATE) -> np.ndarray:
-    """Bits of each text; ``weights`` (DEPTH x INPUTS) are the start of each, ``table`` the rows of each predictor."""
+def cost(buf: np.ndarray, offs: np.ndarray, table: list[np.ndarray], start: np.ndarray = START, rate: float = RATE, own_rate: float = OWN_RATE) -> np.ndarray:
+    """Bits of each text; ``start`` (INPUTS, or DEPTH x INPUTS) are the weights at the start of each, ``table`` the rows of each predictor."""
     docs, size = len(offs) - 1, np.diff(offs)
     bits = np.zeros(docs)
     if not len(buf):
@@ -248,46 +226,53 @@ def cost(buf: np.ndarray, offs: np.ndarray, table: list[np.ndarray], weights: np
     # the longest first, so that those that still go on are the first ones
     order = np.argsort(-size, kind="stable")
     begin, size = offs[order], size[order]
-    w = np.repeat(weights[None].astype(np.float32), docs, axis=0)
+    # weights take log odds as they are stored
+    w = np.tile((np.broadcast_to(start, (DEPTH, INPUTS)) * _UNIT).T.astype(np.float32), docs)
     own = np.zeros(docs << OWN_BITS, np.float32)
     for lo in range(0, int(size[0]), BLOCK):
         n = np.minimum(size[: np.searchsorted(-size, -lo)] - lo, BLOCK)
+        ends = np.cumsum(n)
         lane = np.repeat(np.arange(len(n)), n)
-        at = np.repeat(begin[: len(n)] + lo - (np.cumsum(n) - n), n) + np.arange(len(lane))
-        walk = _Walk(table, buf[at], [c[at] for c in ctx])
-        mine, learned = walk.ctx[2] & ((1 << OWN_BITS) - 1), []
-        while True:
-            d, b = walk.d, walk.b
-            of = lane[walk.at]
-            first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
-            who = of[first]
-            reps = np.diff(np.append(first, len(of)))
-            slot = (of << OWN_BITS) | (mine[walk.at] ^ _OWN_HASH[d].take(b))
-            s = [*walk.inputs(), own.take(slot)]
-            mix_ = w[who, d]
-            z = np.repeat(mix_[:, -1], reps) * s[-1]
-            for i in range(PREDICTORS):
-                part = np.repeat(mix_[:, i] * SCALE, reps)
-                part *= s[i]
-                z += part
-            # with the sign of the step that wasn't taken, the cost is log(1 + e^z) and the error its slope
-            sign = _SIGN[d].take(b)
-            z *= sign
-            np.clip(z, -14, 14, out=z)
-            e = np.exp(z, out=z)
-            e1 = e + np.float32(1)
-            err = np.divide(e, e1, out=e)
-            err *= sign
-            bits[order[who]] += np.add.reduceat(np.log(e1, out=e1), first)
-            learned.append((slot, err))
-            step = np.float32(rate) / (reps + 16).astype(np.float32)
-            grad = np.stack([np.add.reduceat(x * err, first) for x in s], axis=1)
-            grad[:, :PREDICTORS] *= SCALE
-            w[who, d] = mix_ - step[:, None] * grad
-            if not walk.next():
-                break
-        for slot, err in learned:
-            np.subtract.at(own, slot, np.float32(own_rate) * err)
+        at = np.repeat(begin[: len(n)] + lo - (ends - n), n) + np.arange(len(lane))
+        b = buf.take(at).astype(np.int64)
+        # all rows that the bytes need, and all steps of the bytes, each with its row
+        n_rows, n_steps = _ROWS_OF.take(b), LENGTH.take(b)
+        row_at, step_at = np.cumsum(n_rows) - n_rows, np.cumsum(n_steps) - n_steps
+        of = np.repeat(np.arange(len(b)), n_rows)
+        move = _ROW_HASH_AT.take(((np.arange(len(of)) - row_at.take(of)) << 8) | b.take(of))
+        by = np.repeat(np.arange(len(b)), n_steps)
+        depth = np.arange(len(by)) - step_at.take(by)
+        key = (depth << 8) | b.take(by)
+        slot = _SLOT_AT.take(key)
+        slot += np.repeat(row_at * ROW_SLOTS, n_steps)
+        s = [table[i].take(ctx[i].take(at).take(of) ^ move).view(STORED).take(slot).astype(np.float32) for i in range(PREDICTORS)]
+        who = lane.take(by)
+        mine = (ctx[2].take(at) & ((1 << OWN_BITS) - 1)).take(by)
+        mine ^= _OWN_HASH_AT.take(key)
+        mine |= who << OWN_BITS
+        s.append(own.take(mine))
+        gate = who * DEPTH
+        gate += depth
+        z = w[-1].take(gate)
+        z *= s[-1]
+        for i in range(PREDICTORS):
+            part = w[i].take(gate)
+            part *= s[i]
+            z += part
+        # with the sign of the step that wasn't taken, the cost is log(1 + e^z) and the error its slope
+        sign = _SIGN_AT.take(key)
+        z *= sign
+        np.clip(z, -14, 14, out=z)
+        e = np.exp(z, out=z)
+        e1 = e + np.float32(1)
+        err = np.divide(e, e1, out=e)
+        err *= sign
+        bits[order[: len(n)]] += np.add.reduceat(np.log(e1, out=e1), step_at.take(ends - n))
+        step = np.float32(rate) / (np.bincount(gate, minlength=len(n) * DEPTH) + 16)
+        for i in range(INPUTS):
+            s[i] *= err
+            w[i, : len(step)] -= step * np.bincount(gate, weights=s[i], minlength=len(step)) * (_UNIT[i] * _UNIT[i])
+        np.subtract.at(own, mine, np.float32(own_rate) * err)
     return bits / np.log(2)
 
 
@@ -453,40 +438,6 @@ def gather(halved: DataFrame) -> tuple[str, list[int]]:
     return path, bits
 
 
-def slopes(buf: np.ndarray, offs: np.ndarray, table: list[np.ndarray], gradient: np.ndarray, curvature: np.ndarray) -> None:
-    """Add up the first and second derivatives of the coding cost of these texts by the weights of the corpus predictors, at FIRST_WEIGHT."""
-    ctx = contexts(buf, offs, [len(t).bit_length() - 1 for t in table])
-    for lo in range(0, len(buf), LEARN_BYTES):
-        i = slice(lo, lo + LEARN_BYTES)
-        walk = _Walk(table, buf[i], [c[i] for c in ctx])
-        while True:
-            s = np.stack(walk.inputs())
-            s *= SCALE
-            p = 1 / (1 + np.exp(-FIRST_WEIGHT * s.sum(axis=0)))
-            gradient[walk.d] += s @ (p - BIT[walk.d].take(walk.b))
-            curvature[walk.d] += (s * (p * (1 - p))) @ s.T
-            if not walk.next():
-                break
-
-
-def learn_weights(halved: DataFrame, path: str, bits: list[int]) -> np.ndarray:
-    """Starting weights of each half (2 x DEPTH x INPUTS), by one Newton step over all its documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = _tables(path, bits)
-        g, h = np.zeros((2, DEPTH, PREDICTORS)), np.zeros((2, DEPTH, PREDICTORS, PREDICTORS))
-        for k, buf, offs in _halves(batches, CHUNK_BYTES):
-            slopes(buf, offs, tables[1 - k], g[k], h[k])
-        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (g, h)], ["g", "h"])
-
-    g, h = np.zeros((2, DEPTH, PREDICTORS)), np.zeros((2, DEPTH, PREDICTORS, PREDICTORS))
-    for r in halved.mapInArrow(run, "g binary, h binary").collect():
-        g += np.frombuffer(bytes(r.g)).reshape(g.shape)
-        h += np.frombuffer(bytes(r.h)).reshape(h.shape)
-    w = FIRST_WEIGHT - np.linalg.solve(h + RIDGE * np.eye(PREDICTORS), g[..., None])[..., 0]
-    return np.concatenate([w, np.full((2, DEPTH, 1), OWN_WEIGHT)], axis=-1).astype(np.float32)
-
-
 def score(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, total_bits, bits_per_byte) of every document."""
     text = docs["text"].cast("string")
@@ -498,7 +449,6 @@ def score(docs: DataFrame) -> DataFrame:
         halved = halved.repartition(cores)
     full = halved.where("text <> ''").select("half", "text")
     path, bits = gather(full)
-    weights = learn_weights(full, path, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = _tables(path, bits)
@@ -509,7 +459,7 @@ def score(docs: DataFrame) -> DataFrame:
             for k in (0, 1):
                 for rows in _side_by_side(offs, np.flatnonzero(half == k)):
                     # each half is scored with the counts of the other
-                    spent[rows] = cost(*_take(buf, offs, rows), tables[1 - k], weights[k])
+                    spent[rows] = cost(*_take(buf, offs, rows), tables[1 - k])
             n = np.diff(offs)
             each = np.divide(spent, n, out=np.zeros(len(n)), where=n > 0)
             yield pa.RecordBatch.from_arrays(

@@ -68,7 +68,7 @@ def test_mixing_matches_brute_force_step_by_step():
     counts = np.zeros((lm.PREDICTORS, 2 * lm.SLOTS), np.int64)
     lm.count(buf, offs, counts)
     table = lm.stretch(counts)
-    start = np.array([[0.3, 0.2, 0.4, 0.3, 1.0]] * lm.DEPTH, np.float32)
+    start = np.array([[0.3, 0.2, 0.4, 0.3, 1.0]] * lm.DEPTH) * np.linspace(0.5, 1.5, lm.DEPTH)[:, None]
     got = lm.cost(buf, offs, table, start)
     ctx = lm.contexts(buf, offs)
     for j in range(len(TEXTS)):
@@ -92,7 +92,7 @@ def test_mixing_matches_brute_force_step_by_step():
         assert abs(got[j] - total) < 1e-3 * max(1, total)
     # what a document has held before costs less the second time, without any corpus
     none = [np.zeros(lm.ROWS, np.int64)] * lm.PREDICTORS
-    twice = lm.cost(*raw_text(pa.array(["qzx jvw kpy " * 6, "qzx jvw kpy " * 12])), none, start)
+    twice = lm.cost(*raw_text(pa.array(["qzx jvw kpy " * 6, "qzx jvw kpy " * 12])), none)
     assert twice[1] < 1.5 * twice[0]
 
 
@@ -144,25 +144,29 @@ def test_tables_grow_with_the_distinct_contexts(make_docs):
     assert bits[3] > lm.ROW_BITS and bits[0] == lm.ROW_BITS
 
 
-def test_starting_weights_are_a_newton_step_over_all_documents(make_docs):
-    rng = random.Random(6)
-    rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randrange(9)) for _ in range(30)), "en", "a") for i in range(200)]
-    halved = make_docs(rows).select(F.pmod("doc_id", F.lit(2)).cast("int").alias("half"), "text")
-    path, bits = lm.gather(halved)
-    tables = lm._tables(path, bits)
-    got = lm.learn_weights(halved.repartition(3), path, bits)
-    assert (got[:, :, -1] == lm.OWN_WEIGHT).all()
+def test_score_matches_brute_force_of_halves_tables_and_mixing(make_docs):
+    """The whole query against tables counted step by step from the other half."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(["alpha", "beta", "gamma", "été"]) + str(rng.randrange(9)) for _ in range(rng.randint(1, 60))), "en", "a") for i in range(40)]
+    docs = make_docs(rows)
+    got = {r.doc_id: (r.total_bits, r.n_bytes, r.bits_per_byte) for r in lm.score(docs).collect()}
+    halved = docs.select("doc_id", F.pmod(F.xxhash64(F.lit("half"), "text"), F.lit(2)).cast("int").alias("half"), "text").collect()
+    _, bits = lm.gather(docs.select(F.pmod(F.xxhash64(F.lit("half"), "text"), F.lit(2)).cast("int").alias("half"), "text"))
+    tables = []
     for k in (0, 1):
-        x, y = [[] for _ in range(lm.DEPTH)], [[] for _ in range(lm.DEPTH)]
-        buf, offs = raw_text(pa.array([t for i, t, *_ in rows if i % 2 == k]))
-        ctx = lm.contexts(buf, offs, bits)
-        for i, b in enumerate(buf.tolist()):
-            for d, (_, bit, h, slot) in enumerate(_steps(b)):
-                x[d].append([tables[1 - k][j][int(ctx[j][i]) ^ h : (int(ctx[j][i]) ^ h) + 1].view(np.int8)[slot] * lm.BOUND / 127 for j in range(lm.PREDICTORS)])
-                y[d].append(bit)
-        for d in range(lm.DEPTH):
-            if x[d]:
-                a, b = np.array(x[d]), np.array(y[d])
-                p = 1 / (1 + np.exp(-lm.FIRST_WEIGHT * a.sum(axis=1)))
-                w = lm.FIRST_WEIGHT - np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + lm.RIDGE * np.eye(lm.PREDICTORS), a.T @ (p - b))
-                assert np.abs(got[k, d, :-1] - w).max() < 1e-3
+        buf, offs = raw_text(pa.array([r.text for r in halved if r.half == k]))
+        each = []
+        for i, c in enumerate(lm.contexts(buf, offs, bits)):
+            n = {}
+            for x, b in zip(c.tolist(), buf.tolist()):
+                for _, bit, h, slot in _steps(b):
+                    n.setdefault((x ^ h) * lm.ROW_SLOTS + slot, [0, 0])[bit] += 1
+            t = np.zeros(lm.ROW_SLOTS << bits[i], np.int8)
+            for at, pair in n.items():
+                t[at] = lm.odds(np.array(pair))[0]
+            each.append(t.view(np.int64))
+        tables.append(each)
+    for r in halved:
+        want = float(lm.cost(*raw_text(pa.array([r.text])), tables[1 - r.half])[0])
+        n = len(r.text.encode())
+        assert abs(got[r.doc_id][0] - want) < 0.02 and got[r.doc_id][1] == n and abs(got[r.doc_id][2] - want / n) < 1e-3

@@ -3,26 +3,30 @@
 Tokens are labelled O, EMAIL, PHONE, IP, CARD, SECRET or NAME. The model has
 unary potentials from features of a token and its neighbours, chain potentials
 between neighbours, and skip potentials between distant tokens of a document
-that are equal or differ only in their digits' or letters' surroundings
-(same bare form). Loopy belief propagation passes messages along chain and skip
-edges, so a mention with clear context settles the label of its repetitions.
+that are equal or similar (``link``: the same but for case, surrounding marks, a
+possessive ending, a key in front of a value, or the marks within a long number).
+Each mention is linked with the first one. Loopy belief
+propagation passes messages along chain and skip edges, so a mention with clear
+context settles the label of its repetitions.
 
 Most words can't be part of an entity: the label domain of a token without
-digit, at sign or other cue is {O} alone. Such a token is observed, which cuts
-the chain there exactly; only runs of open tokens need messages, and a document
-without an open token is passed through in the JVM.
+digit, at sign or other cue is {O} alone. A cue is also a key word (``password``) or
+a title up to two tokens before, or a call for a name (``contact``) before capitalised
+words. A token without one is observed, which cuts the chain there exactly; only
+runs of open tokens need messages, and a document without an open token is passed
+through in the JVM.
 
-The weights are learned here, by maximum likelihood on generated sentences with
-known labels (``train``): chain and unary weights by gradient ascent on
-pseudo-likelihood, skip weights from the label agreement of linked pairs.
+The weights are learned here, by maximum pseudo-likelihood on generated documents
+with known labels (``train``): unary, chain and skip weights together, the last
+from the linked mentions of these documents.
 
 Defined cases
 -------------
 * A null text stays null with no entities; an empty one stays empty.
 * Null ids, languages and sources are carried through. Repeated rows are
   labelled alike, each on its own.
-* Long texts are labelled whole. All repetitions of a token take part: a clique of equal
-  tokens exchanges messages through their product, at a cost linear in their number.
+* Long texts are labelled whole. All mentions of a token take part, at full strength; the
+  cost is linear in their number.
 * An empty table gives an empty result. Extra columns are carried through by ``redact``.
 """
 
@@ -31,7 +35,6 @@ from __future__ import annotations
 import random
 import re
 import zlib
-from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -44,28 +47,46 @@ from srcgraph.llm.common import fresh
 
 LABELS = ("O", "EMAIL", "PHONE", "IP", "CARD", "SECRET", "NAME")
 K = len(LABELS)
-HASH_SIZE = 1 << 12
+HASH_SIZE = 1 << 15
 ROUNDS = 6
-TRAIN_SENTENCES = 6000
+TRAIN_DOCUMENTS = 6000
+STEPS = 150
 THRESHOLD = 0.5
 
 _TOKEN = re.compile(r"\S+")
 _TITLE = r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Monsieur|Señor|Señora)\.?"
 #: A document with none of these has only O tokens.
-CUES = r"[0-9@]|(?i:token|secret|passw|apikey|api_key|key=|bearer)|[A-Z0-9]{20}|\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Monsieur|Señor|Señora)\b"
-_OPEN = re.compile(r"[0-9@]|(?i:token|secret|passw|apikey|api_key|key=|bearer)|[A-Z0-9]{20}")
+CUES = r"[0-9@]|(?i:token|secret|passw|pwd|apikey|api[_-]key|key=|bearer)|[A-Z0-9]{20}|\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Monsieur|Señor|Señora)\b|\b(?i:contact|dear|regards|signed|attn|sincerely)\b"
+_OPEN = re.compile(r"[0-9@]|(?i:token|secret|passw|pwd|apikey|api[_-]key|key=|bearer)|[A-Z0-9]{20}")
 _HAS_TITLE = re.compile(r"\b" + _TITLE + r"(?=\s)")
 _CAPITAL = re.compile(r"[^\w]*[A-ZÀ-ÖØ-Þ][\w'’-]+")
 _EDGE = "\"'.,;:!?()[]{}<>%&#$*|=`~"
+#: Marks that may stick to the end of any token.
+_MARKS = ",.!#%&$*;)"
+_NAME_CALL = {"contact", "dear", "regards", "signed", "attn", "sincerely"}
+#: A key word with its sign, as one token or two.
+_KEY_SIGN = re.compile(r"(?i)[\"']?(?:[\w-]*(?:token|secret|password|passwd|pwd|api[_-]?key|bearer))[\"']?\s*[:=]?")
 _KEYWORD = re.compile(r"(?i)(?:token|secret|password|passwd|pwd|api[_-]?key|key|bearer)\W*$")
 _CUE_WORDS = {"phone", "tel", "call", "mobile", "fax", "email", "mail", "contact", "ip", "host", "server", "card", "visa", "account", "version", "page", "chapter", "year", "room", "price", "order", "item", "cost", "no", "nr", "section", "figure", "table", "mr", "mrs", "ms", "dr", "prof", "herr", "frau", "mme"}
 
 
 def bare(token: str) -> str:
-    """The form that links repetitions: without surrounding marks, case folded."""
+    """Without surrounding marks, case folded."""
     return token.strip(_EDGE).lower()
 
 
+def link(token: str) -> str:
+    """The form that equal and similar mentions share; "" for one that links nothing."""
+    t = bare(token)
+    if (m := re.fullmatch(r"[\w-]+[=:]\W*(\S{6,})", t)) and not t[0].isdigit():
+        t = m[1].strip(_EDGE)
+    t = re.sub(r"['’]s$", "", t)
+    digits = re.sub(r"[^0-9]", "", t)
+    if len(digits) >= 7 and re.fullmatch(r"[0-9+()./\s-]+", t):
+        return digits
+    return t if len(t) > 1 else ""
+
+
 def shape(token: str) -> str:
     s = re.sub(r"[0-9a-f]{16,}", "H", token) if re.search(r"[0-9a-f]{16,}", token) else token
     out = []
@@ -88,13 +109,13 @@ def _luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def token_features(tokens: list[str], i: int) -> list[str]:
-    """Feature names of token ``i``; distant tokens don't enter."""
+def token_features(tokens: list[str], i: int, linked: bool = False) -> list[str]:
+    """Feature names of token ``i``; of distant tokens no more enters than whether one is ``linked``."""
     t = tokens[i]
     core = t.strip(_EDGE)
     prev, nxt = (tokens[i - 1] if i else ""), (tokens[i + 1] if i + 1 < len(tokens) else "")
     digits = re.sub(r"\D", "", core)
-    out = ["bias", "sh=" + shape(core), "psh=" + shape(prev.strip(_EDGE))[:12], "nsh=" + shape(nxt.strip(_EDGE))[:12], f"nd={min(len(digits), 20)}"]
+    out = ["bias", "sh=" + shape(core), "psh=" + shape(prev.strip(_EDGE)), "nsh=" + shape(nxt.strip(_EDGE)), f"nd={min(len(digits), 20)}"]
     p = bare(prev)
     if p in _CUE_WORDS:
         out.append("pw=" + p)
@@ -127,6 +148,12 @@ def token_features(tokens: list[str], i: int) -> list[str]:
     if core[:1].isupper() and not digits:
         out.append("capital")
         out.append("starts" if not prev or prev[-1:] in ".!?:" and not re.search(_TITLE + r"$", prev) else "inside")
+    if linked:
+        out.append("lk=" + shape(core))
+    if _called(tokens, i):
+        out.append("called")
+    if _KEY_SIGN.fullmatch(t.rstrip(_MARKS)):
+        out.append("key")
     if re.match(r"[€$£]", t) or nxt[:3].lower() in ("usd", "eur", "kg", "km", "cm", "doc", "%"):
         out.append("amount")
     return out
@@ -136,15 +163,66 @@ def _index(names: list[str]) -> np.ndarray:
     return np.fromiter((zlib.crc32(x.encode()) % HASH_SIZE for x in names), np.int64, len(names))
 
 
+def _called(tokens: list[str], i: int) -> bool:
+    """Whether a run of capitalised words up to ``i`` follows a call for a name."""
+    k = i
+    while k >= 0 and i - k < 4 and _CAPITAL.match(tokens[k]) and bare(tokens[k]) not in _NAME_CALL:
+        k -= 1
+    return k < i and k >= 0 and bare(tokens[k]) in _NAME_CALL
+
+
+def _values(tokens: list[str], i: int) -> list[int]:
+    """The places of the value of the key word at ``i``: behind its sign, or behind a sign that stands alone."""
+    t, nxt = tokens[i].rstrip(_MARKS), (tokens[i + 1].rstrip(_MARKS) if i + 1 < len(tokens) else "")
+    if not _KEY_SIGN.fullmatch(t):
+        return []
+    if t[-1:] in "=:":
+        return [i + 1] if nxt else []
+    return [i + 2] if nxt in ("=", ":", "is") and i + 2 < len(tokens) else []
+
+
 def open_tokens(tokens: list[str], titled: bool) -> np.ndarray:
     """Which tokens may have a label other than O."""
     out = np.zeros(len(tokens), bool)
+    called = any(x in t.lower() for t in tokens for x in _NAME_CALL)
+    # what else is open wherever it is mentioned
+    values, names = set(), set()
     for i, t in enumerate(tokens):
-        if _OPEN.search(t) or (titled and _CAPITAL.match(t) and not re.fullmatch(_TITLE, t)):
+        if _OPEN.search(t):
             out[i] = True
+            for k in _values(tokens, i):
+                out[k] = True
+                values.add(link(tokens[k]))
+        elif _CAPITAL.match(t) and not re.fullmatch(_TITLE, t):
+            if titled:
+                out[i] = True
+            elif called and _called(tokens, i):
+                out[i] = True
+                names.add(link(t))
+    values.discard("")
+    names.discard("")
+    if values or names:
+        for i in np.flatnonzero(~out).tolist():
+            form = link(tokens[i])
+            out[i] = form in values or form in names and _CAPITAL.match(tokens[i]) is not None
     return out
 
 
+def links(forms: list[str]) -> np.ndarray:
+    """For each token the place of the first mention of its form among ``forms``, or -1 for that one."""
+    first: dict[str, int] = {}
+    return np.array([-1 if not f or first.setdefault(f, i) == i else first[f] for i, f in enumerate(forms)], np.int64)
+
+
+def features(tokens: list[str], pos: np.ndarray) -> tuple[list[np.ndarray], list[str]]:
+    """(hashed features, forms that link) of the open tokens at ``pos``."""
+    forms = [link(tokens[i]) for i in pos]
+    prev = links(forms)
+    linked = prev >= 0
+    linked[prev[linked]] = True
+    return [_index(token_features(tokens, int(i), bool(k))) for i, k in zip(pos, linked, strict=True)], forms
+
+
 # ---------------------------------------------------------------- training
 def _sentence(rng: random.Random) -> tuple[list[str], list[str]]:
     syl = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve".split()
@@ -169,10 +247,15 @@ def _sentence(rng: random.Random) -> tuple[list[str], list[str]]:
             toks.append(t)
             labs.append(label)
 
-    for _ in range(rng.randint(2, 9)):
-        put(word())
+    def plain(n: int) -> None:
+        # the first follows what may be a name
+        for i in range(n):
+            put(word().capitalize() if i and rng.random() < 0.05 else word())
+
+    put(word().capitalize())
+    plain(rng.randint(1, 8))
     for _ in range(rng.randint(1, 3)):
-        kind = rng.randrange(15)
+        kind = rng.randrange(18)
         if kind == 0:
             if rng.random() < 0.4:
                 put(rng.choice(["email", "mail", "contact"]))
@@ -220,65 +303,100 @@ def _sentence(rng: random.Random) -> tuple[list[str], list[str]]:
             put(rng.choice(["AKIA" + caps(16), "ASIA" + caps(16), "ghp_" + hexa(36), "sk-" + hexa(32), "xoxb-" + num(11) + "-" + hexa(20)]), "SECRET")
         elif kind == 13:
             put("".join(word() for _ in range(8)).upper())
+        elif kind == 14:
+            put(rng.choice(["password:", "secret =", "pwd:", "password is", "token:", "passwd ="]))
+            put("-".join(word() + word() for _ in range(rng.randint(1, 3))), "SECRET")
+        elif kind == 15:
+            put(rng.choice(["contact", "Contact", "signed", "attn", "Dear", "regards", "sincerely"]))
+            put(" ".join(word().capitalize() for _ in range(rng.randint(1, 3))), "NAME")
+        elif kind == 16:
+            put(rng.choice(["the password was", "a secret of", "the token and", "keyword", "contact with the", "signed by the", "token" + rng.choice(["", ".", ","])]))
+            put(word() + " " + word())
         else:
             put(word() + ". " + word().capitalize() + " " + word())
-        for _ in range(rng.randint(1, 5)):
-            put(word())
-    # marks of all sorts stick to tokens
-    for i in range(len(toks)):
-        if rng.random() < 0.06:
-            toks[i] += rng.choice([",", ".", "!!", "###", "%%%", "&&&", "$$$", "***", ";", ")"])
+        plain(rng.randint(1, 5))
+    return _marked(rng, toks), labs
+
+
+def _marked(rng: random.Random, toks: list[str]) -> list[str]:
+    """Marks of all sorts stick to tokens."""
+    return [t + rng.choice([",", ".", "!!", "###", "%%%", "&&&", "$$$", "***", ";", ")"]) if rng.random() < 0.06 else t for t in toks]
+
+
+def _document(rng: random.Random) -> tuple[list[str], list[str]]:
+    """One to three sentences; some of what they mention, private or not, comes back later without its context, and at times otherwise written."""
+    toks: list[str] = []
+    labs: list[str] = []
+    for _ in range(rng.randint(1, 3)):
+        t, y = _sentence(rng)
+        toks += t
+        labs += y
+    # one token of each run of a label, and numbers and capitals that are nothing private
+    runs = [i for i, y in enumerate(labs) if y != "O" and (not i or labs[i - 1] != y) and (i + 1 == len(labs) or labs[i + 1] != y)]
+    runs += [i for i, (t, y) in enumerate(zip(toks, labs, strict=True)) if y == "O" and (t[:1].isdigit() or t[:1].isupper())]
+    for i in rng.sample(runs, min(len(runs), rng.randint(0, 4))):
+        form = toks[i].strip(_EDGE)
+        if not form:
+            continue
+        if labs[i] == "PHONE" and rng.random() < 0.4:
+            form = re.sub(r"\D", "", form)
+        elif labs[i] == "NAME" and rng.random() < 0.3:
+            form += "'s"
+        elif labs[i] == "SECRET":
+            form = form.split("=")[-1].strip(_EDGE) or form
+        for _ in range(rng.randint(1, 3)):
+            filler = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 7))) for _ in range(rng.randint(2, 8))]
+            k = rng.randint(1, len(filler))
+            toks += [*filler[:k], *_marked(rng, [form]), *filler[k:]]
+            labs += ["O"] * k + [labs[i]] + ["O"] * (len(filler) - k)
     return toks, labs
 
 
 @lru_cache(maxsize=2)
-def train(sentences: int = TRAIN_SENTENCES, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(unary weights HASH_SIZE x K, chain K x K, skip K x K), from generated sentences; the same on every call."""
+def train(documents: int = TRAIN_DOCUMENTS, seed: int = 11) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(unary weights HASH_SIZE x K, chain K x K, skip K x K), from generated documents; the same on every call."""
     rng = random.Random(seed)
-    rows, ys, left, right = [], [], [], []
-    agree = np.ones((K, K)) * 0.5
-    for _ in range(sentences):
-        toks, labs = _sentence(rng)
-        ok = open_tokens(toks, bool(_HAS_TITLE.search(" ".join(toks))))
+    rows, ys, left, right, before = [], [], [], [], []
+    for _ in range(documents):
+        toks, labs = _document(rng)
+        pos = np.flatnonzero(open_tokens(toks, bool(_HAS_TITLE.search(" ".join(toks)))))
         y = [LABELS.index(x) for x in labs]
-        for i in np.flatnonzero(ok):
-            rows.append(_index(token_features(toks, int(i))))
-            ys.append(y[i])
-            left.append(y[i - 1] if i and ok[i - 1] else 0)
-            right.append(y[i + 1] if i + 1 < len(toks) and ok[i + 1] else 0)
-        # a linked pair shares its label unless one of its mentions was annotated as O by oversight
-        for a in {y[i] for i in np.flatnonzero(ok)}:
-            agree[a, a] += 1
-            if rng.random() < 0.03:
-                agree[a, 0] += 1
-                agree[0, a] += 1
+        ok = {int(i) for i in pos}
+        found, forms = features(toks, pos)
+        before += [p + len(ys) if p >= 0 else -1 for p in links(forms).tolist()]
+        for i in pos.tolist():
+            left.append(y[i - 1] if i - 1 in ok else 0)
+            right.append(y[i + 1] if i + 1 in ok else 0)
+        rows += found
+        ys += [y[i] for i in pos]
     n = len(ys)
     size = np.array([len(r) for r in rows])
-    feat, owner = np.concatenate(rows), np.repeat(np.arange(n), size)
-    y, lf, rt = np.array(ys), np.array(left), np.array(right)
-    unary, chain = np.zeros((HASH_SIZE, K)), np.zeros((K, K))
-    g2u, g2c = np.full((HASH_SIZE, K), 1e-6), np.full((K, K), 1e-6)
+    feat, owner, begin = np.concatenate(rows), np.repeat(np.arange(n), size), np.cumsum(size) - size
+    y, lf, rt, prev = np.array(ys), np.array(left), np.array(right), np.array(before)
+    later = np.flatnonzero(prev >= 0)
+    earlier = prev[later]
+    unary, chain, skip = np.zeros((HASH_SIZE, K)), np.zeros((K, K)), np.zeros((K, K))
+    weights = [unary, chain, skip]
+    seen = [np.full(w.shape, 1e-6) for w in weights]
     target = np.eye(K)[y]
-    for _ in range(120):
-        score = np.zeros((n, K))
-        for k in range(K):
-            score[:, k] = np.bincount(owner, weights=unary[feat, k], minlength=n)
+    for _ in range(STEPS):
+        score = np.add.reduceat(unary[feat], begin, axis=0)
         score += chain[lf] + chain[:, rt].T
+        score[later] += skip[y[earlier]]
+        np.add.at(score, earlier, skip[:, y[later]].T)
         p = np.exp(score - score.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
         err = target - p
-        gu = np.stack([np.bincount(feat, weights=err[owner, k], minlength=HASH_SIZE) for k in range(K)], axis=1) - 0.3 * unary
-        gc = np.zeros((K, K))
-        np.add.at(gc, lf, err)
-        np.add.at(gc.T, rt, err)
-        gc -= 0.3 * chain
-        g2u += gu**2
-        g2c += gc**2
-        unary += 0.5 * gu / np.sqrt(g2u)
-        chain += 0.5 * gc / np.sqrt(g2c)
-    joint = agree / agree.sum()
-    skip = np.log(joint / np.outer(joint.sum(1), joint.sum(0)))
-    return unary, chain, np.clip(skip, -2.5, 2.5)
+        grad = [np.stack([np.bincount(feat, weights=err[owner, k], minlength=HASH_SIZE) for k in range(K)], axis=1), np.zeros((K, K)), np.zeros((K, K))]
+        np.add.at(grad[1], lf, err)
+        np.add.at(grad[1].T, rt, err)
+        np.add.at(grad[2], y[earlier], err[later])
+        np.add.at(grad[2].T, y[later], err[earlier])
+        for w, g, q in zip(weights, grad, seen, strict=True):
+            g -= 0.3 * w
+            q += g**2
+            w += 0.5 * g / np.sqrt(q)
+    return unary, chain, skip
 
 
 # ---------------------------------------------------------------- inference
@@ -296,8 +414,8 @@ def _through(x: np.ndarray, pot: np.ndarray) -> np.ndarray:
 def infer(unary: np.ndarray, pos: np.ndarray, forms: list[str], chain: np.ndarray, skip: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
     """Marginals of the open tokens at ``pos`` (ascending) by loopy belief propagation.
 
-    Messages of a skip clique are damped by the number of its members, and each
-    member hears the product of all the others'.
+    A round passes messages along the runs of neighbours and then between the first
+    and all other mentions of each form, each exact for what the other kind has said so far.
     """
     n = len(pos)
     joined = np.append(pos[1:] == pos[:-1] + 1, False)  # chain edge i -> i + 1
@@ -306,42 +424,34 @@ def infer(unary: np.ndarray, pos: np.ndarray, forms: list[str], chain: np.ndarra
     base[~np.append(False, joined[:-1])] += chain[0]
     base[~joined] += chain[:, 0]
     a = np.flatnonzero(joined)
-    group = defaultdict(list)
-    for i, f in enumerate(forms):
-        if len(f) > 1:
-            group[f].append(i)
-    cliques = [np.array(g) for g in group.values() if len(g) > 1]
-    member = np.concatenate(cliques) if cliques else np.zeros(0, np.int64)
-    of = np.repeat(np.arange(len(cliques)), [len(c) for c in cliques]) if cliques else member
-    share = np.array([1.0 / (len(c) - 1) for c in cliques])
-    fwd, bwd, far = np.zeros((n, K)), np.zeros((n, K)), np.zeros((n, K))
-    longest = 1
-    for _ in range(rounds if len(member) else 1):
+    prev = links(forms)
+    later = np.flatnonzero(prev >= 0)
+    earlier = prev[later]
+    fwd, bwd, ahead, back = np.zeros((4, n, K))
+    belief = base
+    for _ in range(rounds if len(later) else 1):
         # chain messages are exact for the runs of this round
-        run = 0
-        while True:
-            heard = base + far
+        heard = base + ahead + back
+        for run in range(n + 1):
             f2, b2 = np.zeros((n, K)), np.zeros((n, K))
             if len(a):
                 f2[a + 1] = _through((heard + fwd)[a], chain)
                 b2[a] = _through((heard + bwd)[a + 1], chain.T)
-            run += 1
             change = max(np.abs(f2 - fwd).max(initial=0), np.abs(b2 - bwd).max(initial=0))
             fwd, bwd = f2, b2
-            if change < 1e-6 or run > n:
+            if change < 1e-6:
                 break
-        longest = max(longest, run)
-        if len(member):
-            out = _through((base + fwd + bwd)[member], skip)
-            total = np.zeros((len(cliques), K))
-            np.add.at(total, of, out)
-            new = np.zeros((n, K))
-            # the mean of the others' messages, up to the strength of two of them
-            others = np.array([len(c) - 1 for c in cliques])
-            new[member] = (total[of] - out) * (share * np.minimum(others, 2))[of][:, None]
-            far = 0.5 * far + 0.5 * new if far.any() else new
-    belief = _norm(base + fwd + bwd + far)
-    return np.exp(belief)
+        heard = base + fwd + bwd
+        if len(later):
+            said = _through(heard[later], skip.T)
+            back = np.zeros((n, K))
+            np.add.at(back, earlier, said)
+            ahead[later] = _through(heard[earlier] + back[earlier] - said, skip)
+        new = _norm(heard + ahead + back)
+        change, belief = np.abs(np.exp(new) - np.exp(belief)).max(), new
+        if change < 1e-4:
+            break
+    return np.exp(_norm(base + fwd + bwd + ahead + back))
 
 
 def _model() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -359,8 +469,8 @@ def entities(text: str | None, model: tuple[np.ndarray, np.ndarray, np.ndarray],
     if not len(pos):
         return []
     unary, chain, skip = model
-    score = np.stack([unary[_index(token_features(tokens, int(i)))].sum(axis=0) for i in pos])
-    p = infer(score, pos, [bare(tokens[i]) for i in pos], chain, skip)
+    found, forms = features(tokens, pos)
+    p = infer(np.stack([unary[f].sum(axis=0) for f in found]), pos, forms, chain, skip)
     label = np.where(1 - p[:, 0] > threshold, p[:, 1:].argmax(axis=1) + 1, 0)
     out: list[list] = []
     last = -2

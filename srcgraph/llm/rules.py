@@ -6,7 +6,8 @@ and drops most of them, and what is left is compiled into one Spark column
 expression, so that scoring is a narrow built-in projection over all documents.
 
 The trees and weights are fitted on a bounded sample of ``max_rows`` labelled
-documents, chosen by hash.
+documents, chosen by hash; of rows with equal ids one is taken, so that the bound
+holds whatever the table.
 
 Defined cases
 -------------
@@ -140,7 +141,7 @@ def extract_rules(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int =
     s = np.full(len(y), np.log((y.mean() + 1e-6) / (1 - y.mean() + 1e-6)))
     found: dict[Rule, None] = {}
     for _ in range(trees):
-        at = rng.choice(len(y), min(len(y), max(40, min(len(y) // 2, 4000))), replace=False)
+        at = rng.choice(len(y), min(len(y), max(40, len(y) // 2)), replace=False)
         r = y - 1 / (1 + np.exp(-s))
         _, rules = _tree(x[at], r[at], rng, int(rng.integers(1, depth + 1)))
         found |= dict.fromkeys(rules)
@@ -208,7 +209,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, lasso: f
     known = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min(F.col("quality").cast("int")).alias("_quality"))
     # at most max_rows rows, so the broadcast is bounded
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = statistics(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")).select("_quality", *[f"_s_{s}" for s in STATS])
+    rows = statistics(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min("_quality").alias("_quality"), F.min("text").alias("text"))).select("_quality", *[f"_s_{s}" for s in STATS])
     # partition order is no property of the data
     got = np.array(sorted(map(tuple, rows.collect())), float).reshape(-1, len(STATS) + 1)
     y = (got[:, 0] > 0).astype(float)

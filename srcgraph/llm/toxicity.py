@@ -8,8 +8,10 @@ that tell. The output is the expected severity, ``sum_k P(grade >= k)``.
 Labels say toxic or not. The grades of the toxic ones come from the intensity of
 words that are commoner among them than chance allows: tertiles of their number.
 The model is fitted on a bounded sample of ``max_rows`` labelled documents, chosen
-by hash; every document is scored, in one narrow pass with a weight table of
-fixed size.
+by hash (of rows with equal ids one, so the bound holds whatever the table); features
+of fewer than ``MIN_HAVE`` of them, or as common among toxic ones as chance allows, are
+left out before the fit. Every document is scored, in one narrow pass with a weight
+table of fixed size.
 
 Defined cases
 -------------
@@ -37,7 +39,8 @@ from srcgraph.llm.common import U64, chunks, raw_text, words
 BITS = 18
 GRADES = 3
 MAX_ROWS = 20_000
-MAX_FEATURES = 2_000
+#: Labelled documents that must hold a feature for it to tell anything.
+MIN_HAVE = 3
 LASSO = 2e-4
 STEPS = 400
 TELLING = 4.0
@@ -101,7 +104,7 @@ def fit_ordinal(row: np.ndarray, col: np.ndarray, val: np.ndarray, y: np.ndarray
 
 
 def grades(row: np.ndarray, dim: np.ndarray, n: np.ndarray, toxic: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(grade of each document, features kept): intensity tertiles of the toxic ones, and the features that differ most."""
+    """(grade of each document, features kept): intensity tertiles of the toxic ones, and the features that differ more than chance would."""
     size = 1 << BITS
     have = np.bincount(dim, minlength=size)
     bad = np.bincount(dim[toxic[row]], minlength=size)
@@ -109,9 +112,8 @@ def grades(row: np.ndarray, dim: np.ndarray, n: np.ndarray, toxic: np.ndarray) -
     # how far the number of toxic documents with a word is from its expectation
     want = have * share
     z = (bad - want) / np.sqrt(np.maximum(want * (1 - share) * (1 - have / (total + 1)), 0.5))
-    z[have < 3] = 0
-    strong = np.flatnonzero(np.abs(z) > 2.0)
-    kept = np.sort(strong[np.argsort(-np.abs(z[strong]), kind="stable")[:MAX_FEATURES]])
+    z[have < MIN_HAVE] = 0
+    kept = np.flatnonzero(np.abs(z) > 2.0)
     telling = z > TELLING
     intensity = np.bincount(row, weights=n * telling[dim], minlength=total)
     y = np.zeros(total, np.int64)
@@ -127,7 +129,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, lasso: f
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     # at most max_rows rows, so the broadcast is bounded
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    text = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id").select("toxic", "text")
+    text = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")
+    text = text.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text")).select("toxic", "text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

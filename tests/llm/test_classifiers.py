@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -7,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from srcgraph.llm import rules, toxicity, url_lm
+from srcgraph.llm.common import raw_text
 
 
 # ---------------------------------------------------------------- URLs
@@ -66,7 +68,60 @@ def test_url_filter(spark):
     assert url_lm.classify(_pages(spark, [])).count() == 0
 
 
+def test_url_query_matches_brute_force(spark):
+    """Seeds, halves, threshold and decisions of the whole query, with a tie at the threshold."""
+    rng = random.Random(12)
+    hosts = ["news.example.com", "shop-a.org", "spam.example.com", "my-casino.net", "ads.x.org", "adsl.org", "b.casinos.com"]
+    rows = [(i, f"http://{rng.choice(hosts)}/{'abc'[i % 3]}/{rng.randrange(40)}", None, None) for i in range(160)]
+    rows += [(1000 + i, r[1], None, None) for i, r in enumerate(rows[:40])]
+    pages = _pages(spark, rows)
+    order = [r.url for r in pages.orderBy(F.xxhash64("url"), "url").collect()]
+    part = lambda u: [x for x in u.split("/")[2].replace("-", ".").split(".")]
+    bad = [u for u in order if set(part(u)) & set(url_lm.SEEDS)]
+    good = [u for u in order if not set(part(u)) & set(url_lm.SEEDS)]
+    train = [u for i, u in enumerate(good) if i % 5]
+    score = {u: _brute_log_prob(bad, u, url_lm.ORDER) - _brute_log_prob(train, u, url_lm.ORDER) for u in set(order)}
+    held = sorted(score[u] for u in good[::5])
+    cut = max(0.0, held[math.ceil((len(held) - 1) * (1 - url_lm.MAX_FALSE))])
+    got = {r.page_id: r for r in url_lm.classify(pages).collect()}
+    assert len(got) == len(rows) and any(score[u] == cut for u in good) or cut == 0
+    for i, u, *_ in rows:
+        assert abs(got[i].score - score[u]) < 2e-6
+        if abs(score[u] - cut) > 1e-9:
+            assert got[i].rejected == (score[u] > cut)
+        else:
+            assert not got[i].rejected
+    assert any(r.rejected for r in got.values()) and not all(r.rejected for r in got.values())
+
+
 # ---------------------------------------------------------------- toxicity
+def test_toxicity_query_matches_brute_force(spark, sf):
+    """Every row of the query from the model, word by word; equal grades go to the lowest."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    got = {r.doc_id: r for r in toxicity.score(docs, labels).collect()}
+    for r in docs.collect():
+        n = Counter(re.findall(r"[0-9a-z\u0080-\uffff]+", r.text.lower()))
+        dims = Counter()
+        for word, times in n.items():
+            _, dim, _ = toxicity.counts(*raw_text(pa.array([word])))
+            dims[int(dim[0])] += times
+        s = sum(float(model.weights[d]) * math.log1p(k) for d, k in dims.items())
+        over = [1 / (1 + math.exp(t - s)) for t in model.thresholds]
+        share = [a - b for a, b in zip([1.0, *over], [*over, 0.0])]
+        assert abs(got[r.doc_id].expected_severity - sum(over)) < 1e-4
+        assert share[got[r.doc_id].grade] > max(share) - 1e-5 and got[r.doc_id].toxic == (over[0] >= 0.5)
+
+
+def test_equal_ids_do_not_widen_the_sample(spark, make_docs):
+    rows = [(i, f"fine words {i}" if i % 2 else f"scoundrel {i}", "en", "a") for i in range(40)]
+    labels = _labelled(spark, [(i, i % 2, 1 - i % 2, None) for i in range(40)])
+    one, many = make_docs(rows), make_docs(rows + rows[:20] * 30)
+    a, b = toxicity.train(one, labels), toxicity.train(many, labels)
+    assert np.allclose(a.weights, b.weights) and np.allclose(a.thresholds, b.thresholds)
+    assert rules.train(one, labels) == rules.train(many, labels)
+
+
 def test_ordinal_fit_reaches_the_optimum_of_a_plain_descent():
     rng = np.random.default_rng(1)
     n, m = 600, 4
@@ -145,6 +200,23 @@ def test_compiled_rules_match_the_model(spark, sf):
     assert ((held["p"] >= 0.5) == (held["quality"] == 1)).mean() > 0.95
 
 
+def test_query_matches_the_rules_row_by_row(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = rules.train(docs, labels)
+    got = {r.doc_id: r for r in rules.classify(docs, labels).collect()}
+    stats = rules.statistics(docs.select("doc_id", "text")).collect()
+    for r in stats:
+        x = {i: r[f"_s_{s}"] for i, s in enumerate(rules.STATS)}
+        z = model.intercept + sum(w for q, w in model.rules if all((x[f] > t) == above for f, t, above in q.terms))
+        p = 1 / (1 + math.exp(-z))
+        assert abs(got[r.doc_id].quality_score - p) < 1e-6 and got[r.doc_id].keep == (got[r.doc_id].quality_score >= 0.5)
+    assert len(got) == len(stats)
+    # a score of exactly the bar is kept
+    even = rules.Ensemble(0.0, [])
+    row = docs.limit(1).select(even.column().alias("s")).withColumn("keep", F.col("s") >= rules.KEEP).first()
+    assert row.s == 0.5 and row.keep
+
+
 def test_statistics_match_brute_force(make_docs):
     text = "Ab cd ab.\nAb cd ab.\nXy 12 %% Été"
     r = rules.statistics(make_docs([(1, text, "en", "a")])).first()

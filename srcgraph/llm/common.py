@@ -128,8 +128,8 @@ def lowered(buf: np.ndarray) -> np.ndarray:
     return out
 
 
-def words(buf: np.ndarray, offs: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, row, hash) of each word: a maximal run of letters, digits and non-ASCII bytes within a row.
+def words(buf: np.ndarray, offs: np.ndarray, lower: bool = True, inside: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, row, hash) of each word: a maximal run of letters, digits and non-ASCII bytes within a row, or of the bytes ``inside``.
 
     Sentence marks and symbols only separate.
     """
@@ -137,7 +137,7 @@ def words(buf: np.ndarray, offs: np.ndarray, lower: bool = True) -> tuple[np.nda
     if n == 0:
         z = np.zeros(0, np.int64)
         return z, z, z, np.zeros(0, U64)
-    is_word = _WORD[buf]
+    is_word = _WORD[buf] if inside is None else inside
     start, end = is_word.copy(), np.empty(n, bool)
     start[1:] &= ~is_word[:-1]
     end[:-1] = is_word[:-1] & ~is_word[1:]

@@ -27,7 +27,9 @@ Defined cases
 from __future__ import annotations
 
 import math
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -78,22 +80,42 @@ for _i, _list in enumerate(COMMON_WORDS.values()):
 _COUNTS = "struct<n_chars: bigint, n_words: bigint, chars: array<bigint>, words: array<bigint>>"
 
 
-def _counts(columns: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    """Counters of (text, its words in lower case between blanks, language)."""
-    for raw, spaced, lang in columns:
-        n = len(raw)
-        chars, width = np.zeros((n, len(CLASSES) + 1), np.int64), max(_WIDTH) + 1
+@lru_cache(maxsize=1)
+def _letter_table() -> np.ndarray:
+    """Whether a code point is a letter."""
+    return np.fromiter((unicodedata.category(chr(c))[0] == "L" for c in range(0x110000)), bool, 0x110000)
+
+
+def _letters(buf: np.ndarray) -> np.ndarray:
+    """Which bytes belong to letters."""
+    out = ((buf | 32) >= 97) & ((buf | 32) <= 122)
+    lead = np.flatnonzero(buf >= 0xC0)
+    if len(lead):
+        size = 2 + (buf[lead] >= 0xE0).astype(np.int64) + (buf[lead] >= 0xF0)
+        point = buf[lead].astype(np.int64) & (0xFF >> (size + 1))
+        for k in (1, 2, 3):
+            more = size > k
+            point[more] = (point[more] << 6) | (buf[lead[more] + k] & 63)
+        yes = _letter_table()[point]
+        for k in range(4):
+            more = size > k
+            out[lead[more] + k] = yes[more]
+    return out
+
+
+def _counts(columns: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Counters of (text, language)."""
+    for raw, lang in columns:
+        n, width = len(raw), max(_WIDTH) + 1
+        chars, seen = np.zeros((n, len(CLASSES) + 1), np.int64), np.zeros((n, width), np.int64)
+        of = np.array([_LANGS.get(x, len(_LANGS)) for x in lang.to_pylist()], np.int64)
         buf, offs = raw_text(raw)
         for lo, hi in chunks(offs):
-            kind = _CLASS[buf[offs[lo] : offs[hi]]]
-            at = offs[lo : hi + 1] - offs[lo]
+            part, at = buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo]
+            kind = _CLASS[part]
             for k in range(len(CLASSES) + 1):
                 chars[lo:hi, k] = np.diff(np.append(0, np.cumsum(kind == k, dtype=np.int64))[at])
-        of = np.array([_LANGS.get(x, len(_LANGS)) for x in lang.to_pylist()], np.int64)
-        seen = np.zeros((n, width), np.int64)
-        buf, offs = raw_text(spaced)
-        for lo, hi in chunks(offs):
-            _, _, row, h = words(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], lower=False)
+            _, _, row, h = words(part, at, inside=_letters(part))
             which = of[lo + row]
             place = _PLACE[which, (h >> U64(48)).astype(np.int64)].astype(np.int64)
             place[_WORD_HASH[which, place] != h] = width - 1
@@ -109,11 +131,9 @@ def _counts(columns: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[
 
 def histograms(docs: DataFrame) -> DataFrame:
     """``docs`` plus _lang, _chars (counts by class), _words (counts by common word, others last), _n_chars, _n_words."""
-    raw = text_of(docs)
     lang = F.coalesce(docs["lang"].cast("string"), F.lit(""))
-    spaced = F.regexp_replace(F.lower(raw), "[^\\p{L}]+", " ")
     run = F.arrow_udf(_counts, _COUNTS, functionType=F.ArrowUDFType.SCALAR_ITER)
-    out = docs.withColumns({"_lang": lang, "_counts": run(raw, spaced, lang)})
+    out = docs.withColumns({"_lang": lang, "_counts": run(text_of(docs), lang)})
     return out.withColumns({f"_{k}": F.col(f"_counts.{k}") for k in ("n_chars", "n_words", "chars", "words")}).drop("_counts")
 
 
@@ -135,39 +155,45 @@ def references(hist: DataFrame) -> DataFrame:
     return F.broadcast(out) if out.count() <= BROADCAST_LANGUAGES else out
 
 
-def _plus(counts: Column) -> Column:
-    return F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
+def _distance_of(p: pa.Array, q: pa.Array) -> pa.Array:
+    """Distance of each histogram from its reference, as far as one speaks; null where either is empty or of one bin."""
+    x, offs = _flat(p)
+    y, _ = _flat(q)
+    rows = len(offs) - 1
+    of, bins = np.repeat(np.arange(rows), np.diff(offs)), np.diff(offs)
+    n, m = (np.bincount(of, weights=v, minlength=rows) for v in (x, y))
+    good = (n > 0) & (m > 0) & (bins > 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        a, b = x / n[of], y / m[of]
+        mid = (a + b) / 2
+        term = np.where(a > 0, a * np.log2(a / mid), 0.0) + np.where(b > 0, b * np.log2(b / mid), 0.0)
+        raw = np.bincount(of, weights=term, minlength=rows) / 2 - (bins - 1) / (n * 8 * math.log(2))
+        out = np.round(np.sqrt(np.maximum(raw, 0.0)), _ROUND)
+    return pa.array(out, mask=~good)
 
 
-def _distance(p: Column, q: Column, bins: Column) -> Column:
-    n, m = _plus(p), _plus(q)
+def _flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    offs = col.offsets.to_numpy().astype(np.int64)
+    return col.values.to_numpy(zero_copy_only=False)[offs[0] : offs[-1]].astype(float), offs - offs[0]
 
-    def term(x: Column, y: Column) -> Column:
-        a, b = x / n, y / m
-        mid = (a + b) / 2
-        return F.when(a > 0, a * F.log2(a / mid)).otherwise(0.0) + F.when(b > 0, b * F.log2(b / mid)).otherwise(0.0)
 
-    raw = _plus(F.zip_with(p, q, term)) / 2
-    bias = (bins - 1) / (n * F.lit(8 * math.log(2)))
-    return F.when((n > 0) & (m > 0) & (bins > 1), F.round(F.sqrt(F.greatest(raw - bias, F.lit(0.0))), _ROUND))
+def _distances(columns: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    for chars, ref_chars, seen, ref_seen in columns:
+        yield pa.StructArray.from_arrays([_distance_of(chars, ref_chars), _distance_of(seen, ref_seen)], ["chars", "words"])
 
 
 def judged(hist: DataFrame, ref: DataFrame, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
     """``hist`` plus _char_distance, _word_distance, _reason (null where nothing speaks against it), _keep."""
-    out = hist.join(ref, "_lang", "left")
-    out = out.withColumns(
-        {
-            "_char_distance": _distance(F.col("_chars"), F.col("_ref_chars"), F.size("_chars")),
-            "_word_distance": _distance(F.col("_words"), F.col("_ref_words"), F.size("_words")),
-        }
-    )
+    run = F.arrow_udf(_distances, "struct<chars: double, words: double>", functionType=F.ArrowUDFType.SCALAR_ITER)
+    out = hist.join(ref, "_lang").withColumn("_far", run("_chars", "_ref_chars", "_words", "_ref_words"))
+    out = out.withColumns({"_char_distance": F.col("_far.chars"), "_word_distance": F.col("_far.words")})
     reason = (
         F.when(F.col("_n_words") == 0, "empty")
         .when((F.col("_n_chars") >= min_chars) & (F.col("_char_distance") > max_char), "characters")
         .when((F.col("_n_words") >= min_words) & (F.col("_word_distance") > max_word), "words")
         .when((F.col("_n_chars") < min_chars) & (F.col("_n_words") < min_words), "short")
     )
-    return out.withColumn("_reason", reason).withColumn("_keep", F.coalesce(F.col("_reason") == "short", F.lit(True))).drop("_chars", "_words", "_ref_chars", "_ref_words")
+    return out.withColumn("_reason", reason).withColumn("_keep", F.coalesce(F.col("_reason") == "short", F.lit(True))).drop("_chars", "_words", "_ref_chars", "_ref_words", "_far")
 
 
 def quality(docs: DataFrame) -> DataFrame:

@@ -29,6 +29,9 @@ CASES += [
     (1, CASES[1][1], "en", "a"),
     (1, CASES[1][1], "en", "a"),
     (108, "слово и дело " * 40, "ru", "c"),
+    (109, "Été ÉTÉ l’été «à» 3×4 ÷ ½ ª µ ﬁ 中文 한글 😀 𝒳y Ǆ " * 12, "fr", "c"),
+    (110, "12 34 | %% " * 200, "en", "c"),
+    (111, "word " * 39 + "%%%% " * 200, "en", "c"),
 ]
 
 

@@ -2,10 +2,10 @@
 
 A byte is coded as a path through a fixed binary tree (short paths for common
 bytes), and each step of a path is predicted by several predictors that see
-different contexts. Four know the corpus: the last one, two and three bytes, and
+different contexts. Three know the corpus: the last two bytes, the last three, and
 the word so far, hashed to rows of a table, hold how often each step went either
-way. A fifth knows the document alone: its log odds, by hashed context, start at
-nothing and follow the gradient of coding cost. A logistic mixer weighs the five:
+way. A fourth knows the document alone: its log odds, by hashed context, start at
+nothing and follow the gradient of coding cost. A logistic mixer weighs the four:
 the weight set is gated by the depth in the tree, starts from ``START`` in each
 document and is refined online by the same gradient. Weights and log odds move
 after each block of ``BLOCK`` bytes of a document. The total cost of all steps over
@@ -53,8 +53,12 @@ ROWS = 1 << ROW_BITS
 SLOTS = ROWS * ROW_SLOTS
 #: Contexts and bytes are packed into 64 bits.
 MAX_BITS = 55
-PREDICTORS = 4
+#: Bytes of context of the predictors that see bytes; one more sees the word so far.
+ORDERS = (2, 3)
+PREDICTORS = len(ORDERS) + 1
 INPUTS = PREDICTORS + 1
+#: Bits of the rows of predictors whose contexts are few whatever the corpus: all contexts, four rows each.
+_BOUNDED = {i: 8 * k + 2 for i, k in enumerate(ORDERS) if k <= 2}
 #: Rows for each (context, node) that needs one, at least.
 SPARE = 2
 #: Log odds up to BOUND in files, in 127 steps either way.
@@ -70,11 +74,13 @@ HELD = 1 << 21
 #: Bytes of a document after which weights and the document's own log odds are refined.
 BLOCK = 64
 RATE = 0.6
+#: The context of the document's own predictor, among those of the others, and the bits that are left of it.
+OWN = 1
 OWN_BITS = 12
 OWN_RATE = 0.35
 PRIOR = 0.4
 #: Weights of the inputs at the start of each document.
-START = np.array([0.0, 0.15, 0.5, 0.4, 1.0])
+START = np.array([0.15, 0.5, 0.4, 1.0])
 #: Documents of like length are scored side by side: so many, or of so many bytes.
 LANES = 128
 LANE_BYTES = 1 << 22
@@ -141,34 +147,32 @@ def contexts(buf: np.ndarray, offs: np.ndarray, bits: list[int] | None = None) -
     """Context of each byte for each predictor, hashed to as many bits, blind to other documents."""
     bits = bits or [ROW_BITS] * PREDICTORS
     n = len(buf)
-    start = np.repeat(offs[:-1], np.diff(offs))
     heads = offs[:-1][np.diff(offs) > 0]
     c, wide = np.zeros(n, U64), buf.astype(U64)
     out = []
-    for k in range(3):
+    for k in range(max(ORDERS)):
         step = np.zeros(n, U64)
         step[k + 1 :] = wide[: n - k - 1] << U64(8 * k)
         for j in range(k + 1):
             # what lies before the text; in a shorter one this falls on the same place of the next
             step[heads[heads < n - j] + j] = 0
         c |= step
-        np.add(c, U64(1 + k), out=step)
-        step *= U64(0x9E3779B97F4A7C15)
-        step >>= U64(64 - bits[k])
-        out.append(step.view(np.int64))
-    # the word so far: from behind the last other byte
-    border = np.where(_WORD[buf], -1, np.arange(n)) + 1
-    border = np.maximum(np.maximum.accumulate(border), start)
-    # a byte's own kind isn't known before it is coded
-    first = np.empty(n, np.int64)
-    first[:1], first[1:] = 0, border[:-1]
-    first = np.maximum(first, start)
+        if k + 1 in ORDERS:
+            np.add(c, U64(1 + k), out=step)
+            step *= U64(0x9E3779B97F4A7C15)
+            step >>= U64(64 - bits[len(out)])
+            out.append(step.view(np.int64))
+    # the word so far: from the start of the text or behind the last other byte; a byte's own kind isn't known before it is coded
+    fresh = np.append(True, ~_WORD[buf[:-1]]) if n else np.zeros(0, bool)
+    fresh[heads] = True
+    first = np.flatnonzero(fresh)
+    first = np.repeat(first, np.diff(np.append(first, n)))
     p, inv = powers(n + 1)
     total = np.zeros(n + 1, U64)
     np.cumsum((lowered(buf).astype(U64) + U64(1)) * p[:n], out=total[1:])
     h = (total[:-1] - total[first]) * inv[first]
     h ^= h >> U64(31)
-    out.append(((h * U64(0xBF58476D1CE4E5B9)) >> U64(64 - bits[3])).astype(np.int64))
+    out.append(((h * U64(0xBF58476D1CE4E5B9)) >> U64(64 - bits[-1])).astype(np.int64))
     return out
 
 
@@ -227,7 +231,7 @@ def cost(buf: np.ndarray, offs: np.ndarray, table: list[np.ndarray], start: np.n
     order = np.argsort(-size, kind="stable")
     begin, size = offs[order], size[order]
     # weights take log odds as they are stored
-    w = np.tile((np.broadcast_to(start, (DEPTH, INPUTS)) * _UNIT).T.astype(np.float32), docs)
+    w = np.repeat((np.broadcast_to(start, (DEPTH, INPUTS)) * _UNIT).T.astype(np.float32), docs, axis=1)
     own = np.zeros(docs << OWN_BITS, np.float32)
     for lo in range(0, int(size[0]), BLOCK):
         n = np.minimum(size[: np.searchsorted(-size, -lo)] - lo, BLOCK)
@@ -237,26 +241,32 @@ def cost(buf: np.ndarray, offs: np.ndarray, table: list[np.ndarray], start: np.n
         b = buf.take(at).astype(np.int64)
         # all rows that the bytes need, and all steps of the bytes, each with its row
         n_rows, n_steps = _ROWS_OF.take(b), LENGTH.take(b)
-        row_at, step_at = np.cumsum(n_rows) - n_rows, np.cumsum(n_steps) - n_steps
+        row_at = np.cumsum(n_rows) - n_rows
         of = np.repeat(np.arange(len(b)), n_rows)
         move = _ROW_HASH_AT.take(((np.arange(len(of)) - row_at.take(of)) << 8) | b.take(of))
-        by = np.repeat(np.arange(len(b)), n_steps)
-        depth = np.arange(len(by)) - step_at.take(by)
+        # steps by depth, then by lane: each weight set has its steps in one stretch
+        each = [np.arange(len(b))]
+        while len(more := each[-1][n_steps.take(each[-1]) > len(each)]):
+            each.append(more)
+        by, depth = np.concatenate(each), np.repeat(np.arange(len(each)), [len(x) for x in each])
+        who = lane.take(by)
+        gate = depth * docs
+        gate += who
+        first = np.flatnonzero(np.append(True, gate[1:] != gate[:-1]))
+        reps = np.diff(np.append(first, len(gate)))
+        gate = gate[first]
         key = (depth << 8) | b.take(by)
         slot = _SLOT_AT.take(key)
-        slot += np.repeat(row_at * ROW_SLOTS, n_steps)
+        slot += (row_at * ROW_SLOTS).take(by)
         s = [table[i].take(ctx[i].take(at).take(of) ^ move).view(STORED).take(slot).astype(np.float32) for i in range(PREDICTORS)]
-        who = lane.take(by)
-        mine = (ctx[2].take(at) & ((1 << OWN_BITS) - 1)).take(by)
+        mine = (ctx[OWN].take(at) & ((1 << OWN_BITS) - 1)).take(by)
         mine ^= _OWN_HASH_AT.take(key)
         mine |= who << OWN_BITS
         s.append(own.take(mine))
-        gate = who * DEPTH
-        gate += depth
-        z = w[-1].take(gate)
+        z = np.repeat(w[-1].take(gate), reps)
         z *= s[-1]
         for i in range(PREDICTORS):
-            part = w[i].take(gate)
+            part = np.repeat(w[i].take(gate), reps)
             part *= s[i]
             z += part
         # with the sign of the step that wasn't taken, the cost is log(1 + e^z) and the error its slope
@@ -267,11 +277,11 @@ def cost(buf: np.ndarray, offs: np.ndarray, table: list[np.ndarray], start: np.n
         e1 = e + np.float32(1)
         err = np.divide(e, e1, out=e)
         err *= sign
-        bits[order[: len(n)]] += np.add.reduceat(np.log(e1, out=e1), step_at.take(ends - n))
-        step = np.float32(rate) / (np.bincount(gate, minlength=len(n) * DEPTH) + 16)
+        bits[order] += np.bincount(gate % docs, weights=np.add.reduceat(np.log(e1, out=e1), first), minlength=docs)
+        step = np.float32(rate) / (reps + 16).astype(np.float32)
         for i in range(INPUTS):
             s[i] *= err
-            w[i, : len(step)] -= step * np.bincount(gate, weights=s[i], minlength=len(step)) * (_UNIT[i] * _UNIT[i])
+            w[i, gate] -= step * np.add.reduceat(s[i], first) * np.float32(_UNIT[i] * _UNIT[i])
         np.subtract.at(own, mine, np.float32(own_rate) * err)
     return bits / np.log(2)
 
@@ -306,6 +316,8 @@ def _register_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     top = np.zeros((2, PREDICTORS, REGISTERS), np.uint8)
     for k, buf, offs in _halves(batches, CHUNK_BYTES):
         for i, c in enumerate(contexts(buf, offs, [MAX_BITS] * PREDICTORS)):
+            if i in _BOUNDED:
+                continue
             at = np.flatnonzero(c < 1 << (MAX_BITS - THIN))
             key, b = c[at].astype(U64) << U64(8), buf[at]
             for d in range(0, DEPTH, LEVELS):
@@ -330,7 +342,7 @@ def table_bits(halved: DataFrame) -> list[int]:
     # few are counted by the registers that none has met
     empty = (top == 0).sum(axis=-1)
     n = 2**THIN * np.where((n < 2.5 * REGISTERS) & (empty > 0), REGISTERS * np.log(REGISTERS / np.maximum(empty, 1)), n)
-    return [min(MAX_BITS, max(ROW_BITS, int(np.ceil(np.log2(max(SPARE * x, 1)))))) for x in n.max(axis=0)]
+    return [_BOUNDED.get(i) or min(MAX_BITS, max(ROW_BITS, int(np.ceil(np.log2(max(SPARE * x, 1)))))) for i, x in enumerate(n.max(axis=0))]
 
 
 def _count_batches(bits: list[int]):

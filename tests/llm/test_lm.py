@@ -142,7 +142,7 @@ def test_tables_grow_with_the_distinct_contexts(make_docs):
             assert len(set(slots.values())) <= 2 ** bits[i] * lm.ROW_SLOTS / lm.SPARE
             same = sum(tables[k][i][slots[x][0] : slots[x][0] + 1].view(np.int8)[slots[x][1]] == lm.odds(np.array(n))[0] for x, n in exact.items())
             assert same >= 0.75 * len(exact)
-    assert bits[-1] > lm.ROW_BITS == bits[1] and bits[0] == 18
+    assert bits[-1] > lm.ROW_BITS and bits[0] == 18
 
 
 def test_score_matches_brute_force_of_halves_tables_and_mixing(make_docs):

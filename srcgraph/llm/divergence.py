@@ -208,9 +208,8 @@ def keep_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, all columns as they were."""
     whole = fresh(docs, "whole")
     packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(whole), docs["text"].alias("text"), docs["lang"].alias("lang"))
-    # rows are written once with their counters, which costs less than reading each text twice or a shuffle of them
-    hist = materialise(histograms(packed).drop("text", "lang"))
-    return judged(hist, references(hist)).where("_keep").select(f"{whole}.*")
+    # two narrow passes over the texts: rows written with their counters would take the table's size again, and joined to them a shuffle of it
+    return judged(histograms(packed).drop("text", "lang"), references(histograms(docs.select("text", "lang")))).where("_keep").select(f"{whole}.*")
 
 
 def _sql_list(words: list[str]) -> str:

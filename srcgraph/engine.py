@@ -27,6 +27,12 @@ def _edge(r: dict) -> dict:
     return {"file_path": r["path"], "source": r["source"], "line": r["line"]}
 
 
+def _totals(r: dict) -> dict:
+    """Counts under the names of the surfaces, beside their own."""
+    names = {"files": "total_files", "symbols": "total_symbols", "imports": "total_imports", "indexed": "indexed_files", "skipped": "skipped_files", "failed": "failed_files"}
+    return r | {names[k]: v for k, v in r.items() if k in names}
+
+
 class Engine:
     def __init__(self, spark: SparkSession, root: str, db: str):
         self.spark, self.root, self.store = spark, root, Store(spark, db)
@@ -40,18 +46,18 @@ class Engine:
 
     # ------------------------------------------------------------ index
     def index(self, incremental: bool = False) -> dict:
-        return asdict(self.store.index(self.root, incremental))
+        return _totals(asdict(self.store.index(self.root, incremental)))
 
     def stats(self) -> dict:
-        return _rows(lookup.stats(self.tables))[0]
+        return _totals(_rows(lookup.stats(self.tables))[0])
 
     def files(self, language: str | None = None) -> list[dict]:
         return _rows(lookup.list_files(self.tables, language or None).select("path", "language", "content_hash", "size"))
 
     # ------------------------------------------------------------ search
     def search(self, q: str, kind: str | None = None, limit: int = 50, hybrid: bool = False) -> list[dict]:
-        find = rank.hybrid if hybrid else rank.ranked
-        out = find(self.tables.symbols, self.store.postings(), q, kind or None, limit)
+        args = (self.tables.symbols, self.store.postings(), q, kind or None, limit)
+        out = rank.hybrid(*args, weights=self.store.weights()) if hybrid else rank.ranked(*args)
         return self._symbols(out.orderBy("rank"))
 
     def definitions(self, name: str) -> list[dict]:
@@ -86,11 +92,11 @@ class Engine:
 
     # ------------------------------------------------------------ context
     def map(self) -> dict:
-        """The root with all directories as its children."""
+        """The root with all directories as its children, ``.`` among them, so that they add up to it."""
         rows = _rows(context.directory_map(self.tables))
         nodes = [{k: r[k] for k in ("path", "files", "symbols", "functions", "types", "methods")} for r in rows]
         root = next(n for n, r in zip(nodes, rows, strict=True) if r["is_root"])
-        children = [n for n, r in zip(nodes, rows, strict=True) if not r["is_root"] and n["path"] != "."]
+        children = [n for n, r in zip(nodes, rows, strict=True) if not r["is_root"]]
         return root | ({"children": children} if children else {})
 
     @staticmethod

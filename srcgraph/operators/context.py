@@ -42,8 +42,7 @@ def explain(t: Tables, paths: DataFrame) -> DataFrame:
     syms = t.symbols.join(picked, "path", "left_semi").groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line", "ord", "name", "kind", "end_line", "signature", "parent"))).alias("symbols"))
     mine = t.imports.join(picked, "path", "left_semi")
     imps = mine.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("ord", "source", "line"))).alias("imports"))
-    wanted = mine.select(F.col("path").alias("of"), F.col("ord").alias("of_ord"), F.col("source").alias("_s"))
-    near = t.imports.join(wanted, S.source_like(F.col("source"), F.col("_s")))
+    near = lookup.importers_of_imports(t, picked)
     users = near.groupBy(F.col("of").alias("path")).agg(F.array_sort(F.collect_list(F.struct("of_ord", F.col("path").alias("importer"), "ord", "source", "line"))).alias("importers"))
     return known.join(syms, "path", "left").join(imps, "path", "left").join(users, "path", "left")
 

@@ -57,9 +57,15 @@ def dependencies(imports: DataFrame, nodes: list[str] | DataFrame, depth: int =
 def dependents(imports: DataFrame, nodes: list[str] | DataFrame, depth: int = 10) -> DataFrame:
     """(start, node, depth): a node with imports leads to all that share one of them, any other to its importers."""
     edges = settle(edges_of(imports))
+    expanded: list[DataFrame] = []
 
     def step(front: DataFrame) -> DataFrame:
         via = front.join(edges, front["node"] == edges["path"], "left").select("start", F.coalesce("source", "node").alias("via")).distinct()
+        # what a start has been through leads to nothing new, however many import it
+        for done in expanded:
+            via = via.join(done, ["start", "via"], "left_anti")
+        via = settle(via)
+        expanded.append(via)
         return via.join(edges, via["via"] == edges["source"]).select("start", F.col("path").alias("node"))
 
     return _levels(_starts(imports, nodes), step, depth if depth > 0 else 10)

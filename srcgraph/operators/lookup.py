@@ -53,15 +53,16 @@ def importers_of(t: Tables, source: str) -> DataFrame:
     return t.imports.where(S.source_like(F.col("source"), source)).orderBy("path", "ord")
 
 
-def importers_of_imports(t: Tables, paths: Column) -> DataFrame:
-    """(of, path, source, line): for each import of the files picked by ``paths``, all import rows like it.
+def importers_of_imports(t: Tables, paths: Column | DataFrame) -> DataFrame:
+    """(of, of_ord, path, ord, source, line): for each import of the files picked by ``paths``, all import rows like it.
 
-    Duplicates and the files themselves are kept. The picked side is the small
-    one of a nested-loop join and is broadcast only while the planner's size
-    limit allows it.
+    Duplicates and the files themselves are kept. Only distinct sources meet
+    distinct patterns in a nested loop; their pairs lead back to rows by equality.
     """
-    mine = t.imports.where(paths).select(F.col("path").alias("of"), F.col("source").alias("_s"), F.col("ord").alias("of_ord"))
-    return t.imports.join(mine, S.source_like(F.col("source"), F.col("_s"))).drop("_s")
+    mine = t.imports.join(paths.select("path"), "path", "left_semi") if isinstance(paths, DataFrame) else t.imports.where(paths)
+    mine = mine.select(F.col("path").alias("of"), F.col("ord").alias("of_ord"), F.col("source").alias("_s"))
+    pairs = t.imports.select("source").distinct().join(mine.select("_s").distinct(), S.source_like(F.col("source"), F.col("_s")))
+    return t.imports.join(pairs, "source").join(mine, "_s").select("of", "of_ord", *t.imports.columns)
 
 
 def stats(t: Tables) -> DataFrame:

@@ -203,7 +203,7 @@ _IDF = "ln((1 + n)::DOUBLE / (1 + df)) + 1"
 
 @query(f", n AS (SELECT count(*) AS n FROM sym), df AS (SELECT token, count(*) AS df FROM tok GROUP BY token) SELECT path, ord, round(sqrt(sum((tf * ({_IDF})) ** 2)), 6) AS norm FROM tok JOIN df USING (token), n GROUP BY path, ord", "tok")
 def tfidf_norms(spark, d):
-    return rank.norms(V.symbols(spark, d)).select("path", "ord", F.round("norm", 6).alias("norm"))
+    return rank.weights(V.symbols(spark, d)).norms.select("path", "ord", F.round("norm", 6).alias("norm"))
 
 
 ORACLE["tfidf_norms"] = ORACLE["tfidf_norms"].replace("GROUP BY ALL)\n,", "GROUP BY ALL),")

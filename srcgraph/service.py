@@ -38,7 +38,7 @@ _LIMIT, _STATE = {"limit": (int, 0)}, {"state": (str, "")}
 
 CALLS: dict[str, Call] = {
     "index": Call(lambda e, incremental: e.index(incremental), {"incremental": (bool, False)}, help="index the source tree"),
-    "search": Call(lambda e, q, kind, limit: e.search(q, kind, limit), {"q": (str, ...), "kind": (str, "")} | _LIMIT, True, "ranked symbol search"),
+    "search": Call(lambda e, q, kind, limit, hybrid: e.search(q, kind, limit, hybrid), {"q": (str, ...), "kind": (str, "")} | _LIMIT | {"hybrid": (bool, False)}, True, "ranked symbol search, or hybrid"),
     "semantic-search": Call(lambda e, q, kind, limit: e.search(q, kind, limit, True), {"q": (str, ...), "kind": (str, "")} | _LIMIT, True, "hybrid symbol search"),
     "symbols": Call(lambda e, file: e.file_symbols(file), _one("file"), True, "symbols of a file"),
     "definitions": Call(lambda e, name: e.definitions(name), _one("name"), True, "definitions of a name"),
@@ -59,9 +59,10 @@ CALLS: dict[str, Call] = {
     "diff-impact": Call(lambda e, file, depth: e.diff_impact(file, depth), _one("file") | {"depth": (int, 0)}, help="what a change of a file touches"),
     "diff-impact-git": Call(lambda e, state, depth: e.diff_impact_git(state, depth), _STATE | {"depth": (int, 0)}, True, "what the changed files touch"),
 }
-#: Command-line names that differ, and commands without an HTTP route.
+#: Names on the command line and of tools that differ, routes that do, and commands without one.
 ALIASES = {"find-def": "definitions", "find-refs": "references"}
-NO_ROUTE = {"files"}
+ROUTES = {"git/files": "git-files", "git/diff": "git-diff"}
+NO_ROUTE = {"files", *ROUTES.values()}
 
 
 class BadRequestError(ValueError):
@@ -112,8 +113,9 @@ def handler(engine: Engine) -> type[BaseHTTPRequestHandler]:
 
         def _serve(self, method: str) -> None:
             url = urlsplit(self.path)
-            name = url.path.removeprefix("/api/")
-            if not url.path.startswith("/api/") or name not in CALLS or name in NO_ROUTE:
+            route = url.path.removeprefix("/api/")
+            name = ROUTES.get(route, route)
+            if not url.path.startswith("/api/") or name not in CALLS or route in NO_ROUTE:
                 return self._send(404, {"error": "not found"})
             if (name == "index") != (method == "POST"):
                 return self._send(405, {"error": "POST only" if name == "index" else "GET only"})
@@ -143,11 +145,11 @@ def serve(engine: Engine, port: int) -> ThreadingHTTPServer:
 # ---------------------------------------------------------------- tool calls
 def tools() -> list[dict]:
     kind = {str: "string", int: "integer", bool: "boolean"}
-    out = []
+    out, shown = [], {v: k for k, v in ALIASES.items()}
     for name, call in CALLS.items():
         props = {p: {"type": kind[t]} for p, (t, _) in call.params.items()}
         needed = [p for p, (_, d) in call.params.items() if d is ...]
-        out.append({"name": name.replace("-", "_"), "description": call.help, "inputSchema": {"type": "object", "properties": props, "required": needed}})
+        out.append({"name": shown.get(name, name).replace("-", "_"), "description": call.help, "inputSchema": {"type": "object", "properties": props, "required": needed}})
     return out
 
 
@@ -229,8 +231,6 @@ def parser() -> argparse.ArgumentParser:
                 p.add_argument(f"--{arg}", action="store_true")
             else:
                 p.add_argument(f"--{arg}", type=kind, default=3 if (name, arg) == ("git-diff", "context") else default)
-        if name == "search":
-            p.add_argument("--hybrid", action="store_true")
     sub.add_parser("serve").add_argument("--port", type=int, default=0)
     sub.add_parser("mcp")
     return top
@@ -251,7 +251,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=s
     if args.command == "mcp":
         stdio(engine)
         return 0
-    name = "semantic-search" if args.command == "search" and args.hybrid else ALIASES.get(args.command, args.command)
+    name = ALIASES.get(args.command, args.command)
     try:
         result = invoke(engine, name, vars(args))
     except (BadRequestError, LookupError, QuerySyntaxError, git.GitError) as e:

@@ -10,8 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from srcgraph.schema import EDGE, LANGUAGES, SKIPPED_DIRS, SYMBOL
-from srcgraph.sources import extract
+from srcgraph.schema import EDGE, SKIPPED_DIRS, SYMBOL
+from srcgraph.sources.registry import DEFAULT, Registry
 
 FILES_PER_TASK = 200
 
@@ -30,14 +30,14 @@ SCANNED = T.StructType(
 
 
 def detect_language(path: str) -> str | None:
-    return LANGUAGES.get(os.path.splitext(os.path.basename("x" + path))[1].lower())
+    return DEFAULT.detect(path)
 
 
 def is_skipped(name: str) -> bool:
     return name in SKIPPED_DIRS
 
 
-def walk(root: str) -> Iterator[str]:
+def walk(root: str, registry: Registry = DEFAULT) -> Iterator[str]:
     """Paths of source files under ``root``, relative to it, in lexical order; what can't be read is passed over.
 
     Spark's own file listing hides names that begin with ``_`` or ``.``, and so
@@ -50,20 +50,20 @@ def walk(root: str) -> Iterator[str]:
     for e in entries:
         if e.is_dir(follow_symlinks=False):
             if not e.name.startswith(".") and not is_skipped(e.name):
-                yield from (f"{e.name}/{p}" for p in walk(e.path))
-        elif detect_language(e.name):
+                yield from (f"{e.name}/{p}" for p in walk(e.path, registry))
+        elif registry.detect(e.name):
             yield e.name
 
 
-def paths(spark: SparkSession, root: str) -> DataFrame:
+def paths(spark: SparkSession, root: str, registry: Registry = DEFAULT) -> DataFrame:
     """(path) of the source files under ``root``, spread over tasks by their number."""
-    found = [(p,) for p in walk(root)]
+    found = [(p,) for p in walk(root, registry)]
     df = spark.createDataFrame(found, "path string")
     return df.repartition(max(1, len(found) // FILES_PER_TASK))
 
 
-def _scan_one(root: str, path: str, old: str | None) -> tuple:
-    language = detect_language(path)
+def _scan_one(root: str, path: str, old: str | None, registry: Registry) -> tuple:
+    language = registry.detect(path)
     try:
         with open(os.path.join(root, path), "rb") as f:
             data = f.read()
@@ -75,20 +75,20 @@ def _scan_one(root: str, path: str, old: str | None) -> tuple:
     state = "new" if old is None else "changed"
     text = data.decode("utf-8", "replace")
     try:
-        symbols, imports = extract.parse(text, language)
-    except (ValueError, RecursionError):
+        symbols, imports = registry.get(language).parse(text)
+    except (ValueError, RecursionError, AttributeError):
         return path, language, digest, len(data), "failed", None, None, None
     return path, language, digest, len(data), state, text, symbols, imports
 
 
-def scan(listed: DataFrame, root: str) -> DataFrame:
+def scan(listed: DataFrame, root: str, registry: Registry = DEFAULT) -> DataFrame:
     """Read, hash and extract the files of (path, old_hash); files whose hash is the old one aren't extracted."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for lo in range(0, len(pdf), 64):
                 part = pdf.iloc[lo : lo + 64]
-                rows = [_scan_one(root, p, o if isinstance(o, str) else None) for p, o in zip(part["path"], part["old_hash"], strict=True)]
+                rows = [_scan_one(root, p, o if isinstance(o, str) else None, registry) for p, o in zip(part["path"], part["old_hash"], strict=True)]
                 yield pd.DataFrame(rows, columns=SCANNED.fieldNames()).astype({"size": "Int64"})
 
     return listed.select("path", "old_hash").mapInPandas(run, SCANNED)

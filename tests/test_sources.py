@@ -1,4 +1,5 @@
 import json
+import os
 import subprocess
 import threading
 import urllib.error
@@ -9,7 +10,7 @@ import pytest
 from srcgraph import service
 from srcgraph.engine import Engine
 from srcgraph.operators import diff
-from srcgraph.sources import config, extract, git, tree
+from srcgraph.sources import config, extract, git, registry, tree
 from srcgraph.sources.store import Store
 
 GO = """package main
@@ -198,7 +199,7 @@ def engine(spark, tmp_path_factory):
     _run(root, "add", ".")
     _run(root, "commit", "-qm", "one")
     e = Engine(spark, str(root), str(tmp_path_factory.mktemp("db") / "index"))
-    assert e.stats() == {"files": 0, "symbols": 0, "imports": 0}
+    assert {k: v for k, v in e.stats().items() if not k.startswith("total_")} == {"files": 0, "symbols": 0, "imports": 0}
     stats = e.index()
     assert (stats["files"], stats["indexed"], stats["failed"]) == (3, 3, 0)
     return e
@@ -232,16 +233,32 @@ def test_http(engine):
             return e.code, json.load(e)
 
     assert get("search?q=Foo")[1]["count"] == 2 and get("search")[0] == 400 and get("search?q=a-b")[0] == 500
+    plain, mixed = get("search?q=foo%20helper&hybrid=false")[1], get("search?q=foo%20helper&hybrid=true")[1]
+    assert mixed["results"][0]["name"] == "foo_helper" and mixed == get("semantic-search?q=foo%20helper")[1] != plain
+    for path in ("semantic-search?q=foo", "symbols?file=a.go", "definitions?name=Foo", "references?name=Foo", "text?q=Foo", "imports?file=a.go", "importers?source=fmt"):
+        status, body = get(path)
+        assert status == 200 and body["count"] == len(body["results"]), path
+    for path in ("semantic-search", "symbols", "definitions", "references", "text", "imports", "importers", "explain", "context", "snapshot", "trace?from=Foo", "diff-impact"):
+        assert get(path)[0] == 400, path
     assert get("definitions?name=Bar")[1]["results"][0]["file_path"] == "b.go"
-    assert get("stats")[1]["files"] == 3 and get("index")[0] == 405 and get("nothing")[0] == 404 and get("files")[0] == 404
-    assert get("git-files?state=odd")[0] == 400 and get("explain?file=zz")[0] == 500 and get("trace?from=Foo")[0] == 400
+    stats = get("stats")[1]
+    assert stats["files"] == stats["total_files"] == 3 and get("index")[0] == 405 and get("nothing")[0] == 404 and get("files")[0] == 404
+    tree_ = get("map")[1]
+    assert tree_["path"] == "." and {c["path"] for c in tree_["children"]} == {".", "pkg"} and sum(c["files"] for c in tree_["children"]) == tree_["files"]
+    assert get("explain?file=a.go")[1]["path"] == "a.go" and get("context?name=Foo")[1]["definition"]["name"] == "Foo"
+    assert get("snapshot?q=Foo")[1]["query"] == "Foo" and get("trace?from=Foo&to=Bar")[1]["files"] == ["a.go", "b.go"]
+    assert get("diff-impact?file=a.go")[1]["dependents"] == ["b.go"]
+    assert get("git/files?state=odd")[0] == 400 and get("git-files")[0] == 404 and get("explain?file=zz")[0] == 500
+    assert get("git/files?state=unstaged")[1] == {"results": [], "count": 0} and get("git/diff?state=all&context=1")[1]["count"] == 0
+    assert get("snapshot-git?state=all&limit=2")[1]["query"] == "git:all" and get("diff-impact-git?state=all&depth=2")[1]["count"] == 0
+    assert get("index?incremental=true", "POST")[1]["indexed_files"] == 0
     server.shutdown()
 
 
 def test_tool_calls(engine):
     names = {t["name"] for t in service.answer(engine, {"id": 1, "method": "tools/list"})["result"]["tools"]}
-    assert {"search", "git_diff", "diff_impact_git", "context"} <= names
-    call = {"id": 2, "method": "tools/call", "params": {"name": "definitions", "arguments": {"name": "Foo"}}}
+    assert {"index", "search", "find_def", "find_refs", "files", "git_files", "git_diff", "imports", "importers", "stats", "map", "explain", "context", "snapshot", "snapshot_git", "diff_impact", "diff_impact_git", "trace"} <= names
+    call = {"id": 2, "method": "tools/call", "params": {"name": "find_def", "arguments": {"name": "Foo"}}}
     assert json.loads(service.answer(engine, call)["result"]["content"][0]["text"])["count"] == 1
     assert service.answer(engine, {"id": 3, "method": "tools/call", "params": {"name": "search", "arguments": {}}})["result"]["isError"]
     assert service.answer(engine, {"method": "notifications/initialized"}) is None and "error" in service.answer(engine, {"id": 4, "method": "x"})
@@ -253,6 +270,39 @@ def test_cli(engine, spark, capsys):
     assert service.main([*args, "context", "Missing"], spark) == 1
 
 
+def test_registry(spark, tmp_path):
+    reg = registry.built_in()
+    assert reg.supported() == ["go", "java", "javascript", "python", "rust", "typescript"] and reg.get("cobol") is None
+    assert reg.detect("A/B.GO") == "go" and reg.detect("x.cob") is None and reg.get("go").parse("package p\n")[0][0]["name"] == "p"
+
+    def parse(text):
+        return [{"ord": i, "name": x.split()[1], "kind": "function", "line": i + 1, "end_line": i + 1, "signature": "", "parent": ""} for i, x in enumerate(text.splitlines()) if x.startswith("SUB ")], []
+
+    reg.register(registry.Language("basic", (".bas",), parse))
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src/a.BAS").write_text("SUB one\nSUB two\n")
+    store = Store(spark, str(tmp_path / "db"))
+    assert store.index(str(tmp_path / "src")).files == 0
+    assert store.index(str(tmp_path / "src"), registry=reg).symbols == 2
+    assert {(r.path, r.name) for r in store.tables().symbols.collect()} == {("a.BAS", "one"), ("a.BAS", "two")}
+    # readers may still hold the generation before; older ones are gone
+    store.index(str(tmp_path / "src"), registry=reg)
+    assert sorted(x for x in os.listdir(tmp_path / "db") if x.startswith("gen-") and not x.endswith(".claim")) == ["gen-2", "gen-3"]
+
+
+def test_two_writers_never_share_a_generation(spark, tmp_path):
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src/a.py").write_text("def one(): pass\n")
+    one, other = Store(spark, str(tmp_path / "db")), Store(spark, str(tmp_path / "db"))
+    assert one._claim() == 1 and other._claim() == 2
+    runs = [threading.Thread(target=s.index, args=(str(tmp_path / "src"),)) for s in (one, other)]
+    for r in runs:
+        r.start()
+    for r in runs:
+        r.join()
+    assert one.generation() == 4 and one.tables().symbols.count() == 1
+
+
 def test_git_and_incremental(engine, tmp_path):
     root = engine.root
     with open(f"{root}/a.go", "a") as f:
@@ -266,8 +316,6 @@ def test_git_and_incremental(engine, tmp_path):
     assert [i["file"] for i in engine.diff_impact_git("all")] == ["a.go", "b.go"]
     with pytest.raises(git.GitError):
         git.changed_files(engine.spark, str(tmp_path))
-    import os
-
     os.remove(f"{root}/pkg/__init__.py")
     stats = engine.index(incremental=True)
     assert (stats["files"], stats["indexed"], stats["skipped"]) == (2, 2, 1)

@@ -5,7 +5,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from srcgraph.plans import catalogue
+from srcgraph.plans import catalogue, trees  # noqa: F401 - trees adds its queries
 
 SF = "/root/testdata/sf0.001"
 

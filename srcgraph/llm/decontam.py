@@ -26,7 +26,7 @@ Defined cases
   shorter ones aren't searched.
 * Windows with fewer than half literal tokens say nothing and are left out of both sides.
   An item without any other window is searched by its exact words, all of its windows.
-* Repeated items give a row each, repeated documents too. Null ids are carried
+* Ids may be of any type. Repeated items give a row each, repeated documents too. Null ids are carried
   as nulls. An empty table on either side gives an empty result.
 * Long texts are searched whole. Extra columns are carried through by ``keep_documents``.
 """
@@ -39,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from srcgraph.llm.common import U64, chunks, fresh, materialise, mix, raw_text, rolling, words
 
@@ -324,11 +325,11 @@ def _found(docs: DataFrame, benchmark: DataFrame, window: int, min_cover: float,
     if size <= limit:
         rows = [(r.item_id, r.text) for r in items.collect()]
         found = lean.mapInArrow(_scan(Benchmark(rows, window, min_item), min_cover, min_agree), _OUT)
-        ids = docs.sparkSession.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "item int, item_id bigint")
+        ids = docs.sparkSession.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], T.StructType([T.StructField("item", T.IntegerType()), T.StructField("item_id", benchmark.schema["item_id"].dataType)]))
         return found.join(F.broadcast(ids), "item").drop("item")
     items = materialise(items.withColumn("item", F.monotonically_increasing_id()))
     found = _joined(lean, items.select("item", "text"), window, min_item, min_cover, min_agree)
-    return found.join(items.select("item", F.col("item_id").cast("bigint").alias("item_id")), "item").drop("item")
+    return found.join(items.select("item", "item_id"), "item").drop("item")
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, min_cover: float = MIN_COVER, min_agree: float = MIN_AGREE, min_item: int = MIN_ITEM, limit: int = BROADCAST_WINDOWS) -> DataFrame:

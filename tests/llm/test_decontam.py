@@ -113,3 +113,64 @@ def test_names_that_open_sentences(spark, make_docs, limit):
     got = {r.doc_id: r for r in decontam.leaks(docs, bench, limit=limit).collect()}
     assert sorted(got) == [1, 2, 3]
     assert got[1].cover == got[2].cover == 1 and got[1].agreement == 1
+
+
+def _forms(tok, n):
+    """Windows of one text by form: (place, what it looks like), word by word."""
+    m, rows = len(tok.kind), {0: [], 1: [], 2: []}
+    for i in range(m - n + 1):
+        kind, mark, value = tok.kind[i : i + n].tolist(), tok.mark[i : i + n].tolist(), tok.value[i : i + n].tolist()
+        if 2 * kind.count(0) >= n:
+            rows[decontam.TEMPLATE].append((i, tuple((k, 0 if k else v) for k, v in zip(kind, value))))
+        if 4 in mark and 2 * mark.count(0) >= n:
+            rows[decontam.OPEN].append((i, tuple((k, 0 if k else v) for k, v in zip(mark, value))))
+        rows[decontam.EXACT].append((i, tuple(value)))
+    return rows
+
+
+def test_all_rows_match_brute_force(spark, sf):
+    """Every column of every row, from windows compared as tuples instead of hashes."""
+    import numpy as np
+    import pyarrow as pa
+
+    from srcgraph.llm.common import raw_text
+
+    docs, real = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    got = sorted(map(tuple, decontam.leaks(docs, real).collect()))
+    known, items = {}, {}
+    for r in real.collect():
+        tok = decontam.Tokens(*raw_text(pa.array([r.text])))
+        n = decontam.WINDOW if len(tok.kind) >= decontam.WINDOW else len(tok.kind)
+        if n < decontam.MIN_ITEM:
+            continue
+        by = _forms(tok, n)
+        forms = [f for f in (decontam.TEMPLATE, decontam.OPEN) if by[f]] or [decontam.EXACT]
+        items[r.item_id] = (tok, n, len({i for f in forms for i, _ in by[f]}))
+        for f in forms:
+            for i, w in by[f]:
+                known.setdefault((n, f, w), []).append((r.item_id, i))
+    want = []
+    for d in docs.collect():
+        tok, met = decontam.Tokens(*raw_text(pa.array([d.text]))), {}
+        for n in {n for _, n, _ in items.values()}:
+            for f, rows in _forms(tok, n).items():
+                for j, w in rows:
+                    for item, i in known.get((n, f, w), ()):
+                        met.setdefault(item, []).append((i, j))
+        for item, pairs in met.items():
+            mine, n, total = items[item]
+            pos, at = (np.array(x) for x in zip(*pairs))
+            span = np.arange(n)
+            r = decontam.judge(total, pos, at, mine.mark[pos[:, None] + span], mine.value[pos[:, None] + span], tok.value[at[:, None] + span], decontam.MIN_COVER, decontam.MIN_AGREE)
+            if r:
+                want.append((d.doc_id, item, r[0], round(r[0] / total, 6), round(r[1], 6)))
+    assert got == sorted(want) and len(got) >= 3
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0], ids=["broadcast", "shuffled"])
+def test_ids_of_any_type_and_windows_without_literals(spark, make_docs, limit):
+    bench = spark.createDataFrame([("x-1", "alpha beta gamma 1 2 3 4 5"), (None, ITEM)], "item_id string, text string")
+    docs = make_docs([(1, "say alpha beta gamma 7 8 9 10 11 and done", "en", "a"), (2, "say alpha beta gamma 1 2 3 4 5 and done", "en", "a"), (3, ITEM, "en", "a")])
+    got = [(r.doc_id, r.item_id) for r in decontam.leaks(docs, bench, limit=limit).collect()]
+    # three literals of eight: searched by its exact words in both ways
+    assert sorted(got, key=str) == [(2, "x-1"), (3, None)]

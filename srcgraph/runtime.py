@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Tables settled within ``scratch``, by thread.
+_open = threading.local()
 #: Shuffle files of a query may go once its result is written.
 _CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -36,6 +41,8 @@ def settle(df: DataFrame) -> DataFrame:
         spark.conf.set(_CLEAN, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.settled_at = path
+    if getattr(_open, "held", None) is not None:
+        _open.held.append(out)
     return out
 
 
@@ -45,3 +52,14 @@ def release(*settled: DataFrame) -> None:
         jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
         path = jvm.org.apache.hadoop.fs.Path(df.settled_at)
         path.getFileSystem(conf).delete(path, True)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Delete at the end what ``settle`` writes within, in this thread; only plain values may leave."""
+    outer, _open.held = getattr(_open, "held", None), []
+    try:
+        yield
+    finally:
+        held, _open.held = _open.held, outer
+        release(*held)

@@ -16,6 +16,7 @@ from urllib.parse import parse_qs, urlsplit
 from pyspark.sql import SparkSession
 
 from srcgraph.engine import Engine
+from srcgraph.runtime import scratch
 from srcgraph.schema import QuerySyntaxError
 from srcgraph.sources import config, git
 
@@ -96,7 +97,10 @@ def _arguments(call: Call, given: dict[str, object]) -> dict[str, object]:
 
 def invoke(engine: Engine, name: str, given: dict[str, object]) -> object:
     call = CALLS[ALIASES.get(name, name)]
-    result = call.run(engine, **_arguments(call, given))
+    arguments = _arguments(call, given)
+    # a server that runs for long must leave nothing behind
+    with scratch():
+        result = call.run(engine, **arguments)
     return {"results": result, "count": len(result)} if call.listed else result
 
 

@@ -255,6 +255,16 @@ def test_http(engine):
     server.shutdown()
 
 
+def test_requests_leave_no_tables_behind(engine, spark):
+    from srcgraph.runtime import shared_dir
+
+    folder = shared_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    assert service.invoke(engine, "diff-impact", {"file": "a.go"})["dependents"] == ["b.go"]
+    assert service.invoke(engine, "trace", {"from": "Foo", "to": "Bar"})["files"] == ["a.go", "b.go"]
+    assert set(os.listdir(folder)) == before
+
+
 def test_tool_calls(engine):
     names = {t["name"] for t in service.answer(engine, {"id": 1, "method": "tools/list"})["result"]["tools"]}
     assert {"index", "search", "find_def", "find_refs", "files", "git_files", "git_diff", "imports", "importers", "stats", "map", "explain", "context", "snapshot", "snapshot_git", "diff_impact", "diff_impact_git", "trace"} <= names

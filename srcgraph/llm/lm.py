@@ -11,9 +11,9 @@ document and is refined online by the same gradient. Weights and log odds move
 after each block of ``BLOCK`` bytes of a document. The total cost of all steps over
 the bytes is the score.
 
-The counts come from the whole corpus: a first pass estimates how many rows each
-predictor can meet, each task counts its documents, and a shuffle adds the counts
-up block by block. The tables grow with the corpus, so they go neither through the
+The counts come from the whole corpus: each task counts its documents and registers
+how many rows each predictor can meet, which sizes the tables, and a shuffle adds the
+counts up block by block. The tables grow with the corpus, so they go neither through the
 driver nor into the memory of the tasks: each block is written to its place in a
 file in the shared folder, and scoring maps the files, page by page. A row holds
 three levels of the tree, so a byte costs about two reads a predictor. So that no
@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from srcgraph.llm.common import _WORD, CHUNK_BYTES, U64, chunks, lowered, mix, powers, raw_text
+from srcgraph.llm.common import _WORD, CHUNK_BYTES, U64, chunks, lowered, materialise, mix, powers, raw_text, release
 from srcgraph.runtime import shared_dir
 
 #: A row of a table holds the slots of LEVELS levels of the tree below a node.
@@ -51,6 +51,8 @@ ROW_SLOTS = 1 << LEVELS
 ROW_BITS = 15
 ROWS = 1 << ROW_BITS
 SLOTS = ROWS * ROW_SLOTS
+#: The rows of a context lie within so many of each other, a page of memory.
+NEAR = 1 << 9
 #: Contexts and bytes are packed into 64 bits.
 MAX_BITS = 55
 #: Bytes of context of the predictors that see bytes; one more sees the word so far.
@@ -71,6 +73,8 @@ REGISTERS = 1 << 12
 THIN = 4
 #: Distinct (context, byte) pairs that a task holds before it sends them on.
 HELD = 1 << 21
+#: Pairs that it sends in a row.
+SENT = 1 << 18
 #: Bytes of a document after which weights and the document's own log odds are refined.
 BLOCK = 64
 RATE = 0.6
@@ -82,7 +86,7 @@ PRIOR = 0.4
 #: Weights of the inputs at the start of each document.
 START = np.array([0.15, 0.5, 0.4, 1.0])
 #: Documents of like length are scored side by side: so many, or of so many bytes.
-LANES = 128
+LANES = 64
 LANE_BYTES = 1 << 22
 
 #: Rough shares of bytes in European text. They only shape the tree, not the predictions.
@@ -129,7 +133,7 @@ DEPTH = len(NODE)
 _SIGN = (1 - 2 * BIT).astype(np.float32)
 _rng = np.random.default_rng(8)
 #: Where the row of a node (by its depth / LEVELS) lies, seen from its context, and the slot of a step in its row.
-_ROW_HASH = _rng.integers(0, ROWS, 256)[NODE[::LEVELS]]
+_ROW_HASH = _rng.integers(0, NEAR, 256)[NODE[::LEVELS]]
 _OWN_HASH = _rng.integers(0, 1 << OWN_BITS, 256)[NODE]
 _LOCAL = np.zeros((DEPTH, 256), np.int64)
 for _d in range(DEPTH):
@@ -311,33 +315,24 @@ def _halves(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int
                 yield k, *_take(buf, offs, mine[lo:hi])
 
 
-def _register_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each half and predictor the registers of a HyperLogLog of (context, node that has a row)."""
-    top = np.zeros((2, PREDICTORS, REGISTERS), np.uint8)
-    for k, buf, offs in _halves(batches, CHUNK_BYTES):
-        for i, c in enumerate(contexts(buf, offs, [MAX_BITS] * PREDICTORS)):
-            if i in _BOUNDED:
-                continue
-            at = np.flatnonzero(c < 1 << (MAX_BITS - THIN))
-            key, b = c[at].astype(U64) << U64(8), buf[at]
-            for d in range(0, DEPTH, LEVELS):
-                h = mix(key | NODE[d].take(b).astype(U64))
-                # the place of the first one among the bits that name no register, from below
-                low = h >> U64(12)
-                rank = np.bitwise_count((low & (~low + U64(1))) - U64(1)).astype(np.uint8) + np.uint8(1)
-                np.maximum.at(top[k, i], (h & U64(REGISTERS - 1)).astype(np.int64), rank)
-                keep = np.flatnonzero((LENGTH > d + LEVELS).take(b))
-                if not len(keep):
-                    break
-                key, b = key[keep], b[keep]
-    yield pa.RecordBatch.from_arrays([pa.array([top.tobytes()], pa.binary())], ["registers"])
-
-
-def table_bits(halved: DataFrame) -> list[int]:
-    """Bits of the rows of each predictor, by the distinct rows that the larger half needs."""
-    top = np.zeros((2, PREDICTORS, REGISTERS), np.uint8)
-    for r in halved.mapInArrow(_register_batches, "registers binary").collect():
-        np.maximum(top, np.frombuffer(bytes(r.registers), np.uint8).reshape(top.shape), out=top)
+def _register(c: np.ndarray, buf: np.ndarray, into: np.ndarray) -> None:
+    """Add the (context, node that has a row) of these bytes to the registers of a HyperLogLog."""
+    at = np.flatnonzero(c < 1 << (MAX_BITS - THIN))
+    key, b = c[at].astype(U64) << U64(8), buf[at]
+    for d in range(0, DEPTH, LEVELS):
+        h = mix(key | NODE[d].take(b).astype(U64))
+        # the place of the first one among the bits that name no register, from below
+        low = h >> U64(12)
+        rank = np.bitwise_count((low & (~low + U64(1))) - U64(1)).astype(np.uint8) + np.uint8(1)
+        np.maximum.at(into, (h & U64(REGISTERS - 1)).astype(np.int64), rank)
+        keep = np.flatnonzero((LENGTH > d + LEVELS).take(b))
+        if not len(keep):
+            break
+        key, b = key[keep], b[keep]
+
+
+def table_bits(top: np.ndarray) -> list[int]:
+    """Bits of the rows of each predictor, by the distinct rows that the larger half needs; ``top`` are all registers."""
     n = 0.7213 / (1 + 1.079 / REGISTERS) * REGISTERS**2 / np.exp2(-top.astype(float)).sum(axis=-1)
     # few are counted by the registers that none has met
     empty = (top == 0).sum(axis=-1)
@@ -345,35 +340,55 @@ def table_bits(halved: DataFrame) -> list[int]:
     return [_BOUNDED.get(i) or min(MAX_BITS, max(ROW_BITS, int(np.ceil(np.log2(max(SPARE * x, 1)))))) for i, x in enumerate(n.max(axis=0))]
 
 
-def _count_batches(bits: list[int]):
+_COUNTED = "half int, predictor int, pairs binary, times binary"
+
+
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct (context, byte) pairs of each half and predictor, with their numbers; at last a row (-1, -1) with the registers."""
+    held: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+    top = np.zeros((2, PREDICTORS, REGISTERS), np.uint8)
+
+    def rows(k: int, i: int, blobs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        n = len(blobs)
+        return pa.RecordBatch.from_arrays([pa.array([k] * n, pa.int32()), pa.array([i] * n, pa.int32()), *[pa.array(x, pa.binary()) for x in zip(*blobs, strict=True)]], ["half", "predictor", "pairs", "times"])
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for (k, i), parts in held.items():
+            key, n = _distinct(*map(np.concatenate, zip(*parts, strict=True)))
+            n = n.astype(np.uint32)
+            for lo in range(0, len(key), SENT):
+                yield rows(k, i, [(key[lo : lo + SENT].tobytes(), n[lo : lo + SENT].tobytes())])
+        held.clear()
+
+    for k, buf, offs in _halves(batches, CHUNK_BYTES):
+        for i, c in enumerate(contexts(buf, offs, [MAX_BITS] * PREDICTORS)):
+            if i not in _BOUNDED:
+                _register(c, buf, top[k, i])
+            held.setdefault((k, i), []).append(pairs(c, buf))
+        if sum(len(p[0]) for parts in held.values() for p in parts) > HELD:
+            for at, parts in held.items():
+                held[at] = [_distinct(*map(np.concatenate, zip(*parts, strict=True)))]
+            if sum(len(parts[0][0]) for parts in held.values()) > HELD // 2:
+                yield from flush()
+    yield from flush()
+    yield rows(-1, -1, [(top.tobytes(), b"")])
+
+
+def _split_batches(bits: list[int]):
+    """Counted pairs by the blocks of tables of these sizes."""
     starts = np.cumsum([0, *[1 << (b - ROW_BITS) for b in bits]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, int], list[tuple[np.ndarray, np.ndarray]]] = {}
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for (k, i), parts in held.items():
-                key, n = _distinct(*map(np.concatenate, zip(*parts, strict=True)))
-                block = (key >> U64(8 + ROW_BITS)).astype(np.int64)
+        for batch in batches:
+            for k, i, key, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                key, n = np.frombuffer(key.as_buffer(), np.uint64), np.frombuffer(n.as_buffer(), np.uint32).astype(np.int64)
+                row = key >> U64(8 + MAX_BITS - bits[i])
+                block = (row >> U64(ROW_BITS)).astype(np.int64)
+                low = (((row & U64(ROWS - 1)) << U64(8)) | (key & U64(255))).astype(np.uint32)
                 cut = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
                 ends = np.append(cut[1:], len(key))
-                low = (key & U64((1 << (8 + ROW_BITS)) - 1)).astype(np.uint32)
-                at = k * starts[-1] + starts[i] + block[cut]
-                for lo in range(0, len(cut), 64):
-                    hi = min(lo + 64, len(cut))
-                    both = [pa.array([x[a:b].tobytes() for a, b in zip(cut[lo:hi], ends[lo:hi], strict=True)], pa.binary()) for x in (low, n)]
-                    yield pa.RecordBatch.from_arrays([pa.array(at[lo:hi], pa.int64()), *both], ["block", "pairs", "times"])
-            held.clear()
-
-        for k, buf, offs in _halves(batches, CHUNK_BYTES):
-            for i, c in enumerate(contexts(buf, offs, bits)):
-                held.setdefault((k, i), []).append(pairs(c, buf))
-            if sum(len(p[0]) for parts in held.values() for p in parts) > HELD:
-                for at, parts in held.items():
-                    held[at] = [_distinct(*map(np.concatenate, zip(*parts, strict=True)))]
-                if sum(len(parts[0][0]) for parts in held.values()) > HELD // 2:
-                    yield from flush()
-        yield from flush()
+                both = [pa.array([x[a:b].tobytes() for a, b in zip(cut, ends, strict=True)], pa.binary()) for x in (low, n)]
+                yield pa.RecordBatch.from_arrays([pa.array(k * starts[-1] + starts[i] + block[cut], pa.int64()), *both], ["block", "pairs", "times"])
 
     return run
 
@@ -438,15 +453,19 @@ def gather(halved: DataFrame) -> tuple[str, list[int]]:
     url = urlsplit(shared_dir(halved.sparkSession))
     if url.scheme not in ("", "file"):
         raise RuntimeError("op9_context_mixing maps its tables: spark.checkpoint.dir must be a mounted folder")
-    bits = table_bits(halved)
+    counted, top = materialise(halved.mapInArrow(_count_batches, _COUNTED)), np.zeros((2, PREDICTORS, REGISTERS), np.uint8)
+    for r in counted.where("half < 0").select("pairs").collect():
+        np.maximum(top, np.frombuffer(bytes(r.pairs), np.uint8).reshape(top.shape), out=top)
+    bits = table_bits(top)
     folder = unquote(url.path)
     os.makedirs(folder, exist_ok=True)
     path = f"{folder}/srcgraph-{uuid.uuid4().hex}.odds"
     with open(path, "wb") as f:
         # what no block is written to stays a hole and reads as 0, the log odds of an unseen step
         f.truncate(2 * ROW_SLOTS * STORED().itemsize * sum(1 << b for b in bits))
-    each = halved.mapInArrow(_count_batches(bits), "block bigint, pairs binary, times binary")
+    each = counted.where("half >= 0").mapInArrow(_split_batches(bits), "block bigint, pairs binary, times binary")
     each.repartition("block").sortWithinPartitions("block").mapInArrow(_write_batches(path), "blocks bigint").agg(F.sum("blocks")).collect()
+    release(counted)
     return path, bits
 
 

@@ -94,6 +94,76 @@ def test_url_query_matches_brute_force(spark):
     assert any(r.rejected for r in got.values()) and not all(r.rejected for r in got.values())
 
 
+def test_url_models_count_every_url(spark):
+    """More URLs of a class than any sample took: one is most of the table, and each of its rows counts."""
+    some = ["http://a.com/x", "http://b.org/y/1", "http://casino.b.org/y", "http://spam.a.com/1"]
+    rows = [(i, some[0] if i < 70_000 else some[i % 4], None, None) for i in range(70_040)]
+    pages = _pages(spark, rows)
+    order = [r.url for r in pages.orderBy(F.xxhash64("url"), "url").select("url").collect()]
+    good = [u for u in order if u in some[:2]]
+    train = [u for i, u in enumerate(good) if i % 5]
+    bad = [u for u in order if u in some[2:]]
+    accepted, rejected = url_lm.Markov(train), url_lm.Markov(bad)
+    want = dict(zip(some, url_lm.score(pa.array(some), accepted, rejected)))
+    got = {r.url: r.score for r in url_lm.classify(pages).select("url", "score").distinct().collect()}
+    assert len(got) == 4 and all(abs(got[u] - want[u]) < 1e-6 for u in some)
+
+
+def test_url_ranks_over_many_buckets(spark, monkeypatch):
+    """Held-out numbers of each URL and the threshold, with ranks that cross buckets and equal URLs."""
+    monkeypatch.setattr(url_lm, "BUCKET", 16)
+    rng = random.Random(7)
+    rows = [(i, f"http://{rng.choice(['a', 'b', 'spam', 'pills'])}.com/{rng.randrange(300)}", None, None) for i in range(2000)]
+    pages = _pages(spark, rows)
+    order = [r.url for r in pages.orderBy(F.xxhash64("url"), "url").collect()]
+    good = [u for u in order if u.split("/")[2] in ("a.com", "b.com")]
+    held, every = Counter(good[::5]), Counter(order)
+    got = {r.url: (r.good, r.bad, r.held) for r in url_lm.labelled(pages, url_lm.SEEDS).collect()}
+    assert got == {u: ((n - held[u], 0, held[u]) if u in set(good) else (0, n, 0)) for u, n in every.items()}
+    accepted = url_lm.Markov([u for i, u in enumerate(good) if i % 5])
+    rejected = url_lm.Markov([u for u in order if u not in set(good)])
+    for f in (0.002, 0.1, 0.5):
+        _, threshold = url_lm.fit(pages, max_false=f)
+        s = url_lm.score(pa.array(good[::5]), accepted, rejected)
+        assert abs(threshold - max(0.0, np.quantile(s, 1 - f, method="higher"))) < 1e-12
+
+
+def test_value_at_a_rank(spark):
+    x = np.array([-2.5, -1e-300, 0.0, 1e-9, 1e-9, 0.3, 0.3000000001, 7.0])
+    n = [1, 2, 1, 3, 1, 1, 2, 1]
+    each = np.repeat(x, n)
+    values = spark.createDataFrame(list(zip(url_lm._place(x).tolist(), n)), "place long, n long")
+    assert [url_lm._at_rank(values, k) for k in range(len(each))] == each.tolist()
+
+
+def test_url_grams_are_settled_in_parts(tmp_path, monkeypatch):
+    """Files written from batches that cut pairs anywhere, and whatever is held, give the scores of the two models."""
+    rng = random.Random(4)
+    urls = sorted({f"http://{rng.choice('ab')}{rng.randrange(30)}.com/{rng.randrange(50)}" for _ in range(300)})
+    good, bad = [rng.randrange(3) for _ in urls], [rng.randrange(2) for _ in urls]
+    models = [url_lm.Markov([u for u, k in zip(urls, n) for _ in range(k)]) for n in (good, bad)]
+    want = url_lm.score(pa.array([*urls, "", None]), *models)[: len(urls)]
+    for held in (10, 100, 1 << 18):
+        monkeypatch.setattr(url_lm, "HELD", held)
+        batches = [pa.RecordBatch.from_arrays([pa.array(urls[i : i + 7]), pa.array(good[i : i + 7]), pa.array(bad[i : i + 7])], ["url", "good", "bad"]) for i in range(0, len(urls), 7)]
+        total = Counter(), Counter()
+        for b in url_lm._count_batches(url_lm.ORDER)(iter(batches)):
+            for g, *n in zip(*(c.to_pylist() for c in b.columns)):
+                for t, k in zip(total, n):
+                    t[g] += k
+        rows = sorted((g >> 8 & 0xFFFF, g, total[0][g], total[1][g]) for g in total[0])
+        low = tuple(url_lm.Markov.of(np.array([*t], np.uint64), np.array([*t.values()]), 1) for t in ({k: sum(n for g, n in t.items() if g & 0xFFFF == k) for k in {g & 0xFFFF for g in t}} for t in total))
+        places = {}
+        for i, r in enumerate(rows):
+            places.setdefault(r[0], i)
+        path = tmp_path / f"{held}"
+        path.write_bytes(b"\0" * 16 * len(rows))
+        parts = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + 13])], ["pair", "gram", "good", "bad"]) for i in range(0, len(rows), 13)]
+        assert [b.column(0).to_pylist() for b in url_lm._write_batches(str(path), places, len(rows), url_lm.ORDER, low)(iter(parts))] == [[len(rows)]]
+        ratio = url_lm.Ratio(str(path), len(rows), url_lm.ORDER)
+        assert np.allclose(ratio.score(pa.array([*urls, "", None]))[: len(urls)], want, atol=1e-12)
+
+
 # ---------------------------------------------------------------- toxicity
 def test_toxicity_query_matches_brute_force(spark, sf):
     """Every row of the query from the model, word by word; equal grades go to the lowest."""

@@ -16,7 +16,9 @@ how many rows each predictor can meet, which sizes the tables, and a shuffle add
 counts up block by block. The tables grow with the corpus, so they go neither through the
 driver nor into the memory of the tasks: each block is written to its place in a
 file in the shared folder, and scoring maps the files, page by page. A row holds
-three levels of the tree, so a byte costs about two reads a predictor. So that no
+three levels of the tree, so a byte costs about two reads a predictor; scoring makes
+them for some MB of documents at once, each distinct case of context and byte once,
+so that they don't grow dear with the tables. So that no
 document predicts itself, the corpus is halved by hash and each half is scored
 with the counts of the other.
 
@@ -88,6 +90,11 @@ START = np.array([0.15, 0.5, 0.4, 1.0])
 #: Documents of like length are scored side by side: so many, or of so many bytes.
 LANES = 64
 LANE_BYTES = 1 << 22
+#: The tables are read for so many bytes of documents at once, each distinct case once; so many cases in a pass.
+READ_BYTES = 1 << 22
+READ = 1 << 16
+#: Bits of a word context that fit beside a window.
+WORD_BITS = 32
 
 #: Rough shares of bytes in European text. They only shape the tree, not the predictions.
 _SHARES = dict(zip(" etaoinsrhldcumfpgwybvkqjxz", (180, 120, 90, 75, 72, 70, 70, 64, 62, 55, 40, 38, 28, 28, 24, 20, 19, 18, 18, 16, 14, 10, 8, 2, 2, 2, 2), strict=True))
@@ -140,6 +147,7 @@ for _d in range(DEPTH):
     for _k in range(_d % LEVELS):
         _LOCAL[_d] = 2 * _LOCAL[_d] + 1 + BIT[_d - _d % LEVELS + _k]
 _ROWS_OF = -(-LENGTH // LEVELS)
+_LENGTH8 = LENGTH.astype(np.uint8)
 #: The same by depth and byte in one number; slots as seen from the first row of the byte.
 _ROW_HASH_AT, _OWN_HASH_AT, _SIGN_AT = _ROW_HASH.ravel(), _OWN_HASH.ravel(), _SIGN.ravel()
 _SLOT_AT = (_LOCAL + np.arange(DEPTH)[:, None] // LEVELS * ROW_SLOTS).ravel()
@@ -147,6 +155,32 @@ _SLOT_AT = (_LOCAL + np.arange(DEPTH)[:, None] // LEVELS * ROW_SLOTS).ravel()
 _UNIT = np.array([SCALE] * PREDICTORS + [1.0])
 
 
+def _hashed(c: np.ndarray, order: int, bits: int) -> np.ndarray:
+    """The last ``order`` bytes in ``bits`` bits."""
+    h = c + U64(order)
+    h *= U64(0x9E3779B97F4A7C15)
+    h >>= U64(64 - bits)
+    return h.view(np.int64)
+
+
+def _word_so_far(buf: np.ndarray, offs: np.ndarray, bits: int) -> np.ndarray:
+    """The word before each byte in ``bits`` bits."""
+    # the word so far: from the start of the text or behind the last other byte; a byte's own kind isn't known before it is coded
+    n = len(buf)
+    fresh = np.append(True, ~_WORD[buf[:-1]]) if n else np.zeros(0, bool)
+    fresh[offs[:-1][np.diff(offs) > 0]] = True
+    first = np.flatnonzero(fresh)
+    first = np.repeat(first, np.diff(np.append(first, n)))
+    p, inv = powers(n + 1)
+    total = np.zeros(n + 1, U64)
+    np.cumsum((lowered(buf).astype(U64) + U64(1)) * p[:n], out=total[1:])
+    h = (total[:-1] - total[first]) * inv[first]
+    h ^= h >> U64(31)
+    h *= U64(0xBF58476D1CE4E5B9)
+    h >>= U64(64 - bits)
+    return h.view(np.int64)
+
+
 def contexts(buf: np.ndarray, offs: np.ndarray, bits: list[int] | None = None) -> list[np.ndarray]:
     """Context of each byte for each predictor, hashed to as many bits, blind to other documents."""
     bits = bits or [ROW_BITS] * PREDICTORS
@@ -162,21 +196,8 @@ def contexts(buf: np.ndarray, offs: np.ndarray, bits: list[int] | None = None) -
             step[heads[heads < n - j] + j] = 0
         c |= step
         if k + 1 in ORDERS:
-            np.add(c, U64(1 + k), out=step)
-            step *= U64(0x9E3779B97F4A7C15)
-            step >>= U64(64 - bits[len(out)])
-            out.append(step.view(np.int64))
-    # the word so far: from the start of the text or behind the last other byte; a byte's own kind isn't known before it is coded
-    fresh = np.append(True, ~_WORD[buf[:-1]]) if n else np.zeros(0, bool)
-    fresh[heads] = True
-    first = np.flatnonzero(fresh)
-    first = np.repeat(first, np.diff(np.append(first, n)))
-    p, inv = powers(n + 1)
-    total = np.zeros(n + 1, U64)
-    np.cumsum((lowered(buf).astype(U64) + U64(1)) * p[:n], out=total[1:])
-    h = (total[:-1] - total[first]) * inv[first]
-    h ^= h >> U64(31)
-    out.append(((h * U64(0xBF58476D1CE4E5B9)) >> U64(64 - bits[-1])).astype(np.int64))
+            out.append(_hashed(c, k + 1, bits[len(out)]))
+    out.append(_word_so_far(buf, offs, bits[-1]))
     return out
 
 
@@ -224,16 +245,91 @@ def stretch(counts: np.ndarray) -> list[np.ndarray]:
     return [odds(c).view(np.int64) for c in counts.reshape(PREDICTORS, -1)]
 
 
+def _side_by_side(offs: np.ndarray, rows: np.ndarray, limit: int = LANE_BYTES, most: int = LANES) -> Iterator[np.ndarray]:
+    """``rows`` in groups of like length, of about ``limit`` bytes and at most ``most`` rows."""
+    size = offs[rows + 1] - offs[rows]
+    rows = rows[np.argsort(size, kind="stable")]
+    yield from (rows[lo:hi] for lo, hi in chunks(np.append(0, np.cumsum(np.sort(size))), limit, most))
+
+
+def _take(buf: np.ndarray, offs: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = offs[rows + 1] - offs[rows]
+    o = np.append(0, np.cumsum(n))
+    return buf[np.arange(int(o[-1])) + np.repeat(offs[rows] - o[:-1], n)], o
+
+
+def _windows(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Each byte with those before it that the longest of ORDERS sees, in 32 bits; the byte itself is the low one."""
+    heads, n = offs[:-1][np.diff(offs) > 0], len(buf)
+    out = buf.astype(np.uint32)
+    for k in range(1, max(ORDERS) + 1):
+        step = np.zeros(n, np.uint32)
+        step[k:] = buf[: n - k]
+        step <<= np.uint32(8 * k)
+        for j in range(k):
+            # what lies before the text; in a shorter one this falls on the same place of the next
+            step[heads[heads < n - j] + j] = 0
+        out |= step
+    return out
+
+
+def read(key: np.ndarray, table: list[np.ndarray], word: np.ndarray) -> np.ndarray:
+    """Log odds as stored and the sign, four to a step, of all steps of these windows behind these word contexts."""
+    bits = [len(t).bit_length() - 1 for t in table]
+    c = [_hashed(key >> U64(8) & U64((1 << 8 * k) - 1), k, b) for k, b in zip(ORDERS, bits, strict=False)]
+    c.append(word.view(np.int64))
+    b = (key & U64(255)).view(np.int64)
+    n_rows, n_steps = _ROWS_OF.take(b), LENGTH.take(b)
+    row_at = np.cumsum(n_rows) - n_rows
+    of, by = np.repeat(np.arange(len(b)), n_rows), np.repeat(np.arange(len(b)), n_steps)
+    move = _ROW_HASH_AT.take(((np.arange(len(of)) - row_at.take(of)) << 8) | b.take(of))
+    step = ((np.arange(len(by)) - np.repeat(np.cumsum(n_steps) - n_steps, n_steps)) << 8) | b.take(by)
+    slot = _SLOT_AT.take(step)
+    slot += (row_at * ROW_SLOTS).take(by)
+    out = np.empty((len(by), PREDICTORS + 1), STORED)
+    for i, t in enumerate(table):
+        out[:, i] = t.take(c[i].take(of) ^ move).view(STORED).take(slot)
+    out[:, PREDICTORS] = _SIGN_AT.take(step)
+    return out
+
+
 def cost(buf: np.ndarray, offs: np.ndarray, table: list[np.ndarray], start: np.ndarray = START, rate: float = RATE, own_rate: float = OWN_RATE) -> np.ndarray:
     """Bits of each text; ``start`` (INPUTS, or DEPTH x INPUTS) are the weights at the start of each, ``table`` the rows of each predictor."""
-    docs, size = len(offs) - 1, np.diff(offs)
-    bits = np.zeros(docs)
+    bits = np.zeros(len(offs) - 1)
     if not len(buf):
         return bits
-    ctx = contexts(buf, offs, [len(t).bit_length() - 1 for t in table])
+    # equal bytes behind equal ones and in equal words take equal steps, so the tables are read once for each distinct case
+    window, word = _windows(buf, offs), _word_so_far(buf, offs, len(table[-1]).bit_length() - 1).view(U64)
+    wide = len(table[-1]) > 1 << WORD_BITS
+    if wide:
+        # the number of the word context among those here, where it has too many bits
+        words = pa.array(word).dictionary_encode()
+        word, names = words.indices.to_numpy().astype(U64), words.dictionary.to_numpy()
+    each = pa.array(word << U64(32) | window).dictionary_encode()
+    key, at = each.dictionary.to_numpy(), each.indices.to_numpy()
+    n_steps = LENGTH.take((key & U64(255)).view(np.int64))
+    ends = np.cumsum(n_steps)
+    odds_of = np.empty((int(ends[-1]), PREDICTORS + 1), STORED)
+    for lo in range(0, len(key), READ):
+        hi = min(lo + READ, len(key))
+        part = key[lo:hi]
+        odds_of[ends[lo] - n_steps[lo] : ends[hi - 1]] = read(part, table, names[part >> U64(32)] if wide else part >> U64(32))
+    place = (ends - n_steps).take(at)
+    own = _hashed(window.astype(U64) >> U64(8) & U64((1 << 8 * ORDERS[OWN]) - 1), ORDERS[OWN], len(table[OWN]).bit_length() - 1) & ((1 << OWN_BITS) - 1)
+    for rows in _side_by_side(offs, np.arange(len(bits))):
+        bits[rows] = _code(buf, offs[rows], np.diff(offs)[rows], place, own, odds_of.view(np.uint32).ravel(), start, rate, own_rate)
+    return bits
+
+
+def _code(
+    buf: np.ndarray, begin: np.ndarray, size: np.ndarray, place: np.ndarray, own_at: np.ndarray, odds_of: np.ndarray, start: np.ndarray, rate: float, own_rate: float
+) -> np.ndarray:
+    """``cost`` of the texts that begin there and have these sizes, side by side; ``place`` is that of the first step of each byte in ``odds_of``."""
+    docs = len(size)
+    bits = np.zeros(docs)
     # the longest first, so that those that still go on are the first ones
     order = np.argsort(-size, kind="stable")
-    begin, size = offs[order], size[order]
+    begin, size = begin[order], size[order]
     # weights take log odds as they are stored
     w = np.repeat((np.broadcast_to(start, (DEPTH, INPUTS)) * _UNIT).T.astype(np.float32), docs, axis=1)
     own = np.zeros(docs << OWN_BITS, np.float32)
@@ -243,40 +339,34 @@ def cost(buf: np.ndarray, offs: np.ndarray, table: list[np.ndarray], start: np.n
         lane = np.repeat(np.arange(len(n)), n)
         at = np.repeat(begin[: len(n)] + lo - (ends - n), n) + np.arange(len(lane))
         b = buf.take(at).astype(np.int64)
-        # all rows that the bytes need, and all steps of the bytes, each with its row
-        n_rows, n_steps = _ROWS_OF.take(b), LENGTH.take(b)
-        row_at = np.cumsum(n_rows) - n_rows
-        of = np.repeat(np.arange(len(b)), n_rows)
-        move = _ROW_HASH_AT.take(((np.arange(len(of)) - row_at.take(of)) << 8) | b.take(of))
         # steps by depth, then by lane: each weight set has its steps in one stretch
-        each = [np.arange(len(b))]
-        while len(more := each[-1][n_steps.take(each[-1]) > len(each)]):
-            each.append(more)
-        by, depth = np.concatenate(each), np.repeat(np.arange(len(each)), [len(x) for x in each])
+        n_steps = _LENGTH8.take(b)
+        each = [(n_steps > d).nonzero()[0] for d in range(int(n_steps.max()))]
+        by, depth = np.concatenate(each), np.arange(len(each)).repeat([len(x) for x in each])
         who = lane.take(by)
-        gate = depth * docs
-        gate += who
-        first = np.flatnonzero(np.append(True, gate[1:] != gate[:-1]))
-        reps = np.diff(np.append(first, len(gate)))
-        gate = gate[first]
+        reps = np.bincount(depth * docs + who)
+        gate = np.flatnonzero(reps)
+        reps = reps[gate]
+        first = np.cumsum(reps) - reps
         key = (depth << 8) | b.take(by)
-        slot = _SLOT_AT.take(key)
-        slot += (row_at * ROW_SLOTS).take(by)
-        s = [table[i].take(ctx[i].take(at).take(of) ^ move).view(STORED).take(slot).astype(np.float32) for i in range(PREDICTORS)]
-        mine = (ctx[OWN].take(at) & ((1 << OWN_BITS) - 1)).take(by)
+        x = place.take(at).take(by)
+        x += depth
+        x = odds_of.take(x).view(STORED).reshape(-1, PREDICTORS + 1)
+        s = [x[:, i].astype(np.float32) for i in range(PREDICTORS)]
+        sign = x[:, PREDICTORS].astype(np.float32)
+        mine = (own_at.take(at) | lane << OWN_BITS).take(by)
         mine ^= _OWN_HASH_AT.take(key)
-        mine |= who << OWN_BITS
         s.append(own.take(mine))
-        z = np.repeat(w[-1].take(gate), reps)
+        now = w.take(gate, axis=1)
+        z = now[-1].repeat(reps)
         z *= s[-1]
         for i in range(PREDICTORS):
-            part = np.repeat(w[i].take(gate), reps)
+            part = now[i].repeat(reps)
             part *= s[i]
             z += part
         # with the sign of the step that wasn't taken, the cost is log(1 + e^z) and the error its slope
-        sign = _SIGN_AT.take(key)
         z *= sign
-        np.clip(z, -14, 14, out=z)
+        np.minimum(np.maximum(z, np.float32(-14), out=z), np.float32(14), out=z)
         e = np.exp(z, out=z)
         e1 = e + np.float32(1)
         err = np.divide(e, e1, out=e)
@@ -285,24 +375,13 @@ def cost(buf: np.ndarray, offs: np.ndarray, table: list[np.ndarray], start: np.n
         step = np.float32(rate) / (reps + 16).astype(np.float32)
         for i in range(INPUTS):
             s[i] *= err
-            w[i, gate] -= step * np.add.reduceat(s[i], first) * np.float32(_UNIT[i] * _UNIT[i])
-        np.subtract.at(own, mine, np.float32(own_rate) * err)
+            now[i] -= step * np.add.reduceat(s[i], first) * np.float32(_UNIT[i] * _UNIT[i])
+        w[:, gate] = now
+        err *= np.float32(own_rate)
+        np.subtract.at(own, mine, err)
     return bits / np.log(2)
 
 
-def _side_by_side(offs: np.ndarray, rows: np.ndarray) -> Iterator[np.ndarray]:
-    """``rows`` in groups of like length."""
-    size = offs[rows + 1] - offs[rows]
-    rows = rows[np.argsort(size, kind="stable")]
-    yield from (rows[lo:hi] for lo, hi in chunks(np.append(0, np.cumsum(np.sort(size))), LANE_BYTES, LANES))
-
-
-def _take(buf: np.ndarray, offs: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    n = offs[rows + 1] - offs[rows]
-    o = np.append(0, np.cumsum(n))
-    return buf[np.arange(int(o[-1])) + np.repeat(offs[rows] - o[:-1], n)], o
-
-
 def _halves(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(half, bytes, offsets) of runs of about ``limit`` bytes of (half, text)."""
     for batch in batches:
@@ -488,7 +567,7 @@ def score(docs: DataFrame) -> DataFrame:
             half = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             spent = np.zeros(batch.num_rows)
             for k in (0, 1):
-                for rows in _side_by_side(offs, np.flatnonzero(half == k)):
+                for rows in _side_by_side(offs, np.flatnonzero(half == k), READ_BYTES, len(offs)):
                     # each half is scored with the counts of the other
                     spent[rows] = cost(*_take(buf, offs, rows), tables[1 - k])
             n = np.diff(offs)

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -97,6 +98,39 @@ def test_mixing_matches_brute_force_step_by_step():
     assert twice[1] < 1.5 * twice[0]
 
 
+class _Read(np.ndarray):
+    """Rows that count how often they are read."""
+
+    times = 0
+
+    def take(self, at, *args, **kwargs):
+        _Read.times += len(at)
+        return np.asarray(self).take(at, *args, **kwargs)
+
+
+def test_tables_are_read_once_a_distinct_case():
+    """Reads follow the distinct cases of a run of documents, not its bytes; a document costs the same alone and beside others."""
+    rng = np.random.default_rng(5)
+    table = [rng.integers(-(2**62), 2**62, lm.ROWS).view(_Read) for _ in range(lm.PREDICTORS)]
+    texts = [*TEXTS, "", *(TEXTS[0][i:] for i in range(40)), "e" * 70]
+    _Read.times = 0
+    got = lm.cost(*raw_text(pa.array(texts)), table)
+    cases = {(re.split(rb"[^0-9A-Za-z\x80-\xff]", t.encode()[:i])[-1].lower(), t.encode()[max(i - 3, 0) : i].rjust(3, b"\0"), b) for t in texts for i, b in enumerate(t.encode())}
+    assert _Read.times <= lm.PREDICTORS * sum(-(-lm.LENGTH[b] // lm.LEVELS) for *_, b in cases) < sum(len(t) for t in texts)
+    alone = [lm.cost(*raw_text(pa.array([t])), table)[0] for t in texts]
+    assert np.allclose(got, alone, rtol=1e-5) and got[len(TEXTS)] == 0
+
+
+def test_word_contexts_beyond_those_that_fit(monkeypatch):
+    rng = np.random.default_rng(6)
+    table = [rng.integers(-(2**62), 2**62, lm.ROWS) for _ in range(lm.PREDICTORS)]
+    args = *raw_text(pa.array(TEXTS)), table
+    want = lm.cost(*args)
+    monkeypatch.setattr(lm, "WORD_BITS", 9)
+    monkeypatch.setattr(lm, "READ", 7)
+    assert (lm.cost(*args) == want).all()
+
+
 def test_every_byte_has_a_path():
     assert len({tuple((n, b) for n, b, *_ in _steps(i)) for i in range(256)}) == 256
     assert abs(sum(2.0 ** -lm.LENGTH) - 1) < 1e-12

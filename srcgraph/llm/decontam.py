@@ -39,7 +39,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from srcgraph.llm.common import U64, chunks, fresh, materialise, mix, raw_text, rolling, words
 
@@ -231,7 +230,7 @@ def judge(total: int, pos: np.ndarray, at: np.ndarray, mark: np.ndarray, mine: n
     return best
 
 
-_OUT = "rid bigint, item int, windows int, cover double, agreement double"
+_OUT = "rid bigint, item bigint, windows int, cover double, agreement double"
 
 
 def _scan(bench: Benchmark, min_cover: float, min_agree: float):
@@ -255,9 +254,9 @@ def _scan(bench: Benchmark, min_cover: float, min_agree: float):
                     mine, theirs = pos[:, None] + bench.start[item] + step, at[a:b, None] + step
                     got = judge(int(bench.total[item]), pos, at[a:b], bench.mark[mine], bench.value[mine], tok.value[theirs], min_cover, min_agree)
                     if got:
-                        rows.append((rid[lo + int(tok.row[at[a]])].as_py(), item, got[0], round(got[0] / int(bench.total[item]), 6), round(got[1], 6)))
+                        rows.append((rid[lo + int(tok.row[at[a]])].as_py(), bench.ids[item], got[0], round(got[0] / int(bench.total[item]), 6), round(got[1], 6)))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64()]
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["rid", "item", "windows", "cover", "agreement"])
 
     return run
@@ -314,20 +313,19 @@ def _joined(docs: DataFrame, bench_rows: DataFrame, window: int, min_item: int,
         types = [pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.float64()]
         return pa.table([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["rid", "item", "windows", "cover", "agreement"])
 
-    return met.join(seen, ["rid", "item"]).groupBy("rid", "item").applyInArrow(decide, _OUT.replace("item int", "item bigint"))
+    return met.join(seen, ["rid", "item"]).groupBy("rid", "item").applyInArrow(decide, _OUT)
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, window: int, min_cover: float, min_agree: float, min_item: int, limit: int) -> DataFrame:
     """(rid, item_id, windows, cover, agreement); rid is the place of the row in ``docs``."""
     lean = docs.select(F.monotonically_increasing_id().alias("rid"), docs["text"].cast("string").alias("text"))
-    items = benchmark.select("item_id", F.col("text").cast("string").alias("text"))
+    items = materialise(benchmark.select("item_id", F.col("text").cast("string").alias("text"), F.monotonically_increasing_id().alias("item")))
     size = items.agg(F.coalesce(F.sum(F.coalesce(F.regexp_count("text", F.lit("\\S+")), F.lit(0))), F.lit(0))).first()[0]
     if size <= limit:
-        rows = [(r.item_id, r.text) for r in items.collect()]
+        rows = [tuple(r) for r in items.select("item", "text").collect()]
         found = lean.mapInArrow(_scan(Benchmark(rows, window, min_item), min_cover, min_agree), _OUT)
-        ids = docs.sparkSession.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], T.StructType([T.StructField("item", T.IntegerType()), T.StructField("item_id", benchmark.schema["item_id"].dataType)]))
-        return found.join(F.broadcast(ids), "item").drop("item")
-    items = materialise(items.withColumn("item", F.monotonically_increasing_id()))
+        # ids come from the table: rows made of Python values start a second Python daemon in each executor
+        return found.join(F.broadcast(items.select("item", "item_id")), "item").drop("item")
     found = _joined(lean, items.select("item", "text"), window, min_item, min_cover, min_agree)
     return found.join(items.select("item", "item_id"), "item").drop("item")
 

@@ -78,6 +78,7 @@ for _i, _list in enumerate(COMMON_WORDS.values()):
     assert len(set(_PLACE[_i].tolist())) == len(_list) + 1, "two common words share their leading bits"
 
 _COUNTS = "struct<n_chars: bigint, n_words: bigint, chars: array<bigint>, words: array<bigint>>"
+_MEASURES = "struct<n_chars: bigint, n_words: bigint, char_distance: double, word_distance: double>"
 
 
 @lru_cache(maxsize=1)
@@ -182,18 +183,30 @@ def _distances(columns: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         yield pa.StructArray.from_arrays([_distance_of(chars, ref_chars), _distance_of(seen, ref_seen)], ["chars", "words"])
 
 
+def _measures(columns: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    """Lengths and distances of (text, language, its reference by class, by word)."""
+    for text, lang, ref_chars, ref_seen in columns:
+        n_chars, n_words, chars, seen = next(_counts(iter([(text, lang)]))).flatten()
+        yield pa.StructArray.from_arrays([n_chars, n_words, _distance_of(chars, ref_chars), _distance_of(seen, ref_seen)], ["n_chars", "n_words", "char_distance", "word_distance"])
+
+
 def judged(hist: DataFrame, ref: DataFrame, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
     """``hist`` plus _char_distance, _word_distance, _reason (null where nothing speaks against it), _keep."""
     run = F.arrow_udf(_distances, "struct<chars: double, words: double>", functionType=F.ArrowUDFType.SCALAR_ITER)
     out = hist.join(ref, "_lang").withColumn("_far", run("_chars", "_ref_chars", "_words", "_ref_words"))
     out = out.withColumns({"_char_distance": F.col("_far.chars"), "_word_distance": F.col("_far.words")})
+    return _reasoned(out, min_chars, min_words, max_char, max_word).drop("_chars", "_words", "_ref_chars", "_ref_words", "_far")
+
+
+def _reasoned(measured: DataFrame, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
+    """``measured`` (with lengths and distances) plus _reason, _keep."""
     reason = (
         F.when(F.col("_n_words") == 0, "empty")
         .when((F.col("_n_chars") >= min_chars) & (F.col("_char_distance") > max_char), "characters")
         .when((F.col("_n_words") >= min_words) & (F.col("_word_distance") > max_word), "words")
         .when((F.col("_n_chars") < min_chars) & (F.col("_n_words") < min_words), "short")
     )
-    return out.withColumn("_reason", reason).withColumn("_keep", F.coalesce(F.col("_reason") == "short", F.lit(True))).drop("_chars", "_words", "_ref_chars", "_ref_words", "_far")
+    return measured.withColumn("_reason", reason).withColumn("_keep", F.coalesce(F.col("_reason") == "short", F.lit(True)))
 
 
 def quality(docs: DataFrame) -> DataFrame:
@@ -207,9 +220,12 @@ def quality(docs: DataFrame) -> DataFrame:
 def keep_documents(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, all columns as they were."""
     whole = fresh(docs, "whole")
-    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(whole), docs["text"].alias("text"), docs["lang"].alias("lang"))
-    # two narrow passes over the texts: rows written with their counters would take the table's size again, and joined to them a shuffle of it
-    return judged(histograms(packed).drop("text", "lang"), references(histograms(docs.select("text", "lang")))).where("_keep").select(f"{whole}.*")
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias(whole), F.coalesce(docs["lang"].cast("string"), F.lit("")).alias("_lang"))
+    # two narrow passes over the texts: rows written with their counters would take the table's size again, and joined to them a shuffle of it.
+    # Counters and distances come from one kernel: with two, a task holds two Python workers, which an executor keeps while Python is in use
+    run = F.arrow_udf(_measures, _MEASURES, functionType=F.ArrowUDFType.SCALAR_ITER)
+    far = packed.join(references(histograms(docs.select("text", "lang"))), "_lang").withColumn("_far", run(F.coalesce(F.col(whole).getField("text").cast("string"), F.lit("")), "_lang", "_ref_chars", "_ref_words"))
+    return _reasoned(far.select(whole, *[F.col(f"_far.{k}").alias(f"_{k}") for k in ("n_chars", "n_words", "char_distance", "word_distance")])).where("_keep").select(f"{whole}.*")
 
 
 def _sql_list(words: list[str]) -> str:

@@ -83,3 +83,17 @@ def test_stages_keep_the_columns(spark, sf, make_docs):
         assert out.columns[: len(docs.columns)] == docs.columns, name
         assert stage(spark, docs.where("false"), sf).count() == 0
     assert "mix_level_" in out.columns
+
+
+def test_a_task_holds_one_python_worker(spark, sf):
+    docs, items = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    kept = divergence.keep_documents(docs)
+    # a second kernel in the same task would take a second worker, as large as the first
+    assert plan(kept).count("ArrowEvalPython") == 1
+    want = [r.doc_id for r in divergence.quality(docs).collect() if r.keep]
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
+    # rows made of Python values would take another daemon with workers of its own
+    found = decontam._found(docs, items, decontam.WINDOW, decontam.MIN_COVER, decontam.MIN_AGREE, decontam.MIN_ITEM, decontam.BROADCAST_WINDOWS)
+    assert "ExistingRDD" not in plan(found)
+    assert {r.item_id for r in found.collect()} == {r.item_id for r in decontam.leaks(docs, items, limit=0).collect()} != set()

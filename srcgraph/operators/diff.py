@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +14,17 @@ from srcgraph.operators.graph import merged_windows
 HUNK = r"^@@ -(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 _HUNK = re.compile(HUNK)
 DIFF_SCHEMA = "grp int, file_no int, path string, hunks array<struct<old_start:int,old_lines:int,new_start:int,new_lines:int,content:string>>, snippets array<string>"
+_PARSED = pa.schema(
+    {
+        "grp": pa.int32(),
+        "file_no": pa.int32(),
+        "path": pa.string(),
+        "hunks": pa.list_(pa.struct({"old_start": pa.int32(), "old_lines": pa.int32(), "new_start": pa.int32(), "new_lines": pa.int32(), "content": pa.string()})),
+        "snippets": pa.list_(pa.string()),
+    }
+)
+#: Characters of diffs whose files are held as Python values before they go to the JVM.
+PARSE_CHARS = 1 << 20
 
 
 def hunk_header(line: str) -> tuple[int, int, int, int]:
@@ -95,15 +106,30 @@ def parse_diff(text: str, context: int = 0) -> list[dict]:
     return out
 
 
-def parse_diffs(diffs: DataFrame, context: int = 0) -> DataFrame:
-    """One row a file of each (grp, diff) row."""
+def _parsed(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_PARSED)], schema=_PARSED)
+
+
+def _parse_batches(context: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, held = [], 0
+            for grp, text in zip(batch.column(0), batch.column(1), strict=True):
+                got = text.as_py() or ""
+                rows += [(grp.as_py(), i, f["path"], f["hunks"], f["snippets"]) for i, f in enumerate(parse_diff(got, context))]
+                held += len(got)
+                if held >= PARSE_CHARS:
+                    yield _parsed(rows)
+                    rows, held = [], 0
+            yield _parsed(rows)
+            batch = text = rows = None  # else they stay while the next batch is read
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = [(g, i, f["path"], f["hunks"], f["snippets"]) for g, d in zip(pdf["grp"], pdf["diff"], strict=True) for i, f in enumerate(parse_diff(d or "", context))]
-            yield pd.DataFrame(rows, columns=["grp", "file_no", "path", "hunks", "snippets"])
+    return run
 
-    return diffs.select("grp", "diff").mapInPandas(run, DIFF_SCHEMA)
+
+def parse_diffs(diffs: DataFrame, context: int = 0) -> DataFrame:
+    """One row a file of each (grp, diff) row. Besides its input batch, a worker holds the files of ``PARSE_CHARS`` of diffs, or of one diff."""
+    return diffs.select("grp", "diff").mapInArrow(_parse_batches(context), DIFF_SCHEMA)
 
 
 def merge_files(parsed: DataFrame) -> DataFrame:

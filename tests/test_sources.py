@@ -5,6 +5,7 @@ import threading
 import urllib.error
 import urllib.request
 
+import pyarrow as pa
 import pytest
 
 from srcgraph import service
@@ -181,6 +182,20 @@ def test_snippets_cover_all_changes_without_overlap():
     assert diff.snippets("  \n", 1) == [] and diff.snippets(" a\n b", 1) == [" a\n b"]
 
 
+def test_parsed_diffs_leave_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(diff, "PARSE_CHARS", 1000)
+    texts = [DIFF, None, "", DIFF * 30, "no diff", *[DIFF] * 300]
+    empty, batch = (pa.record_batch({"grp": pa.array(range(len(x)), pa.int32()), "diff": pa.array(x, pa.string())}) for x in ([], texts))
+    want = [(i, k, f["path"], f["hunks"], f["snippets"]) for i, t in enumerate(texts) for k, f in enumerate(diff.parse_diff(t or "", 1))]
+    out = list(diff._parse_batches(1)(iter([empty, batch, empty])))
+    assert [tuple(r.values()) for b in out for r in b.to_pylist()] == want
+    # a slice ends with the diff that fills it
+    held = [sum(len(texts[g] or "") for g in set(b.column("grp").to_pylist())) for b in out]
+    assert max(held) <= 1000 + len(DIFF * 30) and sorted(held)[-2] < 1000 + len(DIFF)
+    got = diff.parse_diffs(spark.createDataFrame(list(enumerate(texts)), "grp int, diff string"), 1)
+    assert sorted((r.grp, r.file_no, r.path, [h.asDict() for h in r.hunks], r.snippets) for r in got.collect()) == want
+
+
 # ---------------------------------------------------------------- an indexed repository
 def _run(root, *args):
     subprocess.run(["git", "-C", str(root), "-c", "user.email=t@example.com", "-c", "user.name=t", *args], check=True, capture_output=True)
